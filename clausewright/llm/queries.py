@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewright.llm import mixing, tokenizer
+from clausewright.llm import mixing, residue, scan_repair, tokenizer
 from clausewright.sources.tables import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_clauses(table(spark, d, "clauses"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(table(spark, d, "clauses")).select("clause_key", "title", "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.scanned_clauses(table(spark, d, "clauses"))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.repaired_clauses(table(spark, d, "clauses"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_documents(table(spark, d, "documents"))
 
@@ -22,5 +38,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_clean, p6_found, p6_repaired, p8_ids, p9_mix, p9_shares)}
 ORACLE: dict[str, str] = {}
