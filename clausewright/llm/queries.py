@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clausewright.llm import mixing, residue, scan_repair, tokenizer
+from clausewright.llm import mixing, residue, scan_repair, survivors, tokenizer
 from clausewright.sources.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.copy_pairs(survivors.grouped(table(spark, d, "clauses")))
+
+
+def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
+    best = survivors.survivors(table(spark, d, "clauses"), table(spark, d, "parser_trust"))
+    return best.withColumn("section_path", F.array_join("section_path", " > "))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_clauses(table(spark, d, "clauses"))
 
@@ -38,5 +48,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_clean, p6_found, p6_repaired, p8_ids, p9_mix, p9_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_survivors, p5_found, p5_clean, p6_found, p6_repaired, p8_ids, p9_mix, p9_shares)}
 ORACLE: dict[str, str] = {}
