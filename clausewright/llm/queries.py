@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import mixing, residue, scan_repair, survivors, tokenizer
+from clausewright.llm import markup, mixing, residue, scan_repair, survivors, tokenizer
 from clausewright.sources.tables import table
 
 
@@ -36,6 +36,14 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scan_repair.repaired_clauses(table(spark, d, "clauses"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.marked_up(table(spark, d, "clauses"), table(spark, d, "regulation_tables"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.cleaned_sources(table(spark, d, "clauses"), table(spark, d, "regulation_tables"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_documents(table(spark, d, "documents"))
 
@@ -48,5 +56,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_survivors, p5_found, p5_clean, p6_found, p6_repaired, p8_ids, p9_mix, p9_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_survivors, p5_found, p5_clean, p6_found, p6_repaired, p7_found, p7_clean, p8_ids, p9_mix, p9_shares)}
 ORACLE: dict[str, str] = {}
