@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import markup, mixing, residue, scan_repair, survivors, tokenizer
+from clausewright.llm import markup, mixing, personal, residue, scan_repair, survivors, tokenizer
 from clausewright.sources.tables import table
 
 
@@ -56,5 +56,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_survivors, p5_found, p5_clean, p6_found, p6_repaired, p7_found, p7_clean, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found_spans(table(spark, d, "documents")).select("doc_id", "kind", "start_pos").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_survivors, p5_found, p5_clean, p6_found, p6_repaired, p7_found, p7_clean, p8_ids, p9_mix, p9_shares, p10_found, p10_redacted)}
 ORACLE: dict[str, str] = {}
