@@ -35,6 +35,7 @@ BLANKS = r"[\s\x{00A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]+"
 FIELDS = ("clause_id", "section_path", "document_region", "title", "text")
 SHINGLE = 5
 MAX_PARSERS = 10_000
+BROADCAST_ROWS = 100_000
 
 
 def clause_number(clause_id: Column) -> Column:
@@ -84,15 +85,17 @@ def evidence(rows: DataFrame) -> DataFrame:
 
 def grouped(clauses: DataFrame, least_overlap: float = 0.25) -> DataFrame:
     """(clause_key, group_id): rows with equal ids are copies of one clause."""
-    rows = with_identity(clauses)
-    slim = rows.select("clause_key", "reg_doc", "number", "container", "region")
+    rows = with_identity(clauses.select("clause_key", "reg_doc", "uid", *FIELDS))
+    slim = rows.select("clause_key", "reg_doc", "number", "container")
     open_ = F.col("container").isNull() & F.col("number").isNotNull() & F.col("reg_doc").isNotNull()
-    unplaced = rows.filter(open_)
-    blocks = unplaced.select("reg_doc", "number").distinct()
-    placed = rows.filter(F.col("container").isNotNull()).join(blocks, ["reg_doc", "number"], "left_semi")
+    unplaced = cut_lineage(rows.filter(open_))
+    blocks = cut_lineage(unplaced.select("reg_doc", "number").distinct())
+    # texts are shuffled only where the blocks are too many to be sent to every task
+    few = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
+    placed = rows.filter(F.col("container").isNotNull()).join(few, ["reg_doc", "number"], "left_semi")
     own = evidence(unplaced).drop("container")
-    known = evidence(placed).select("reg_doc", "number", "container", "token").distinct()
-    shared = own.join(known, ["reg_doc", "number", "token"]).groupBy("clause_key", "container").agg(F.sum("weight").alias("score"), F.sum("is_text").alias("texts"), F.max("n_text").alias("n_text"))
+    known = evidence(placed).select("reg_doc", "number", "container", "token")
+    shared = own.join(known, ["reg_doc", "number", "token"]).groupBy("clause_key", "container", "token", "n_text").agg(F.max("weight").alias("weight"), F.max("is_text").alias("is_text")).groupBy("clause_key", "container").agg(F.sum("weight").alias("score"), F.sum("is_text").alias("texts"), F.max("n_text").alias("n_text"))
     # enough of the text is shared, or there is too little text to tell, or path and title agree
     enough = (F.col("texts") >= least_overlap * F.col("n_text")) & (F.col("texts") >= 1) | (F.col("n_text") < 4) | (F.col("score") - F.col("texts") >= 5)
     best = shared.filter(enough).groupBy("clause_key").agg(F.max_by("container", F.struct("score", "texts", "container")).alias("found"))
@@ -110,6 +113,7 @@ def grouped(clauses: DataFrame, least_overlap: float = 0.25) -> DataFrame:
 
 def copy_pairs(groups: DataFrame) -> DataFrame:
     """(clause_key_a, clause_key_b), smaller first, of all copies in one group."""
+    groups = cut_lineage(groups)
     a, b = groups.select("group_id", F.col("clause_key").alias("clause_key_a")), groups.select("group_id", F.col("clause_key").alias("clause_key_b"))
     return a.join(b, "group_id").filter(F.col("clause_key_a") < F.col("clause_key_b")).select("clause_key_a", "clause_key_b")
 
@@ -135,7 +139,7 @@ def votes(clauses: DataFrame, groups: DataFrame, parsers: list[str]) -> DataFram
     """One row per (group, field, value): its parsers' vote counts, completeness, recency and the row to take it from."""
     parser = F.coalesce(F.try_element_at(F.create_map(*[x for i, p in enumerate(parsers) for x in (F.lit(p), F.lit(i + 1))]) if parsers else F.create_map().cast("map<string,int>"), F.col("parser_name")), F.lit(0))
     size = groups.groupBy("group_id").agg(F.count("*").alias("copies")).filter("copies > 1")
-    rows = clauses.join(groups.join(size, "group_id"), "clause_key")
+    rows = clauses.select("clause_key", "parser_name", "ingested_at", *FIELDS).join(groups.join(size, "group_id"), "clause_key")
     value = {f: F.xxhash64(F.lit(f), F.to_json("section_path") if f == "section_path" else F.regexp_replace(F.lower(F.col(f)), r"\s+", " ")) for f in FIELDS}
     cells = rows.select("group_id", "clause_key", parser.alias("parser"), "ingested_at", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value[f].alias("value"), completeness(f).alias("full")) for f in FIELDS])).alias("c")).select("group_id", "clause_key", "parser", "ingested_at", "c.*")
     late = F.col("ingested_at") == F.max("ingested_at").over(W.partitionBy("group_id", "field"))
