@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,18 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+class WordIds(dict):
+    """Memo from a blank-free piece of text to the ids of its counted words; ids in order of appearance."""
+
+    def __init__(self):
+        super().__init__()
+        self.forms: dict[str, int] = {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        out = self[piece] = tuple(self.forms.setdefault(w, len(self.forms)) for w in words_of(piece))
+        return out
+
+
 def line_template(line: str) -> str | None:
     """The shape of a short line that could be a running header: digits masked, outer page numbers off."""
     s = line.strip()
@@ -85,7 +98,7 @@ def close_spaced(match_text: str) -> str:
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind, a, b, n, m): words (w), pairs (p) and line templates (l) with how often one breaks a sentence (m)."""
-    vocab: dict[str, int] = {}
+    known = WordIds()
     codes: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
     counts = Counter()
@@ -102,8 +115,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def emit() -> Iterator[pa.RecordBatch]:
         nonlocal codes, held
         merge()
-        names = list(vocab)
-        wn = [(w, counts[i]) for w, i in vocab.items()]
+        names = list(known.forms)
+        wn = [(w, counts[i]) for w, i in known.forms.items()]
         cols = [["w"] * len(wn), [w for w, _ in wn], [""] * len(wn), [n for _, n in wn], [0] * len(wn)]
         yield _rows(cols)
         if codes:
@@ -115,7 +128,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if lines:
             ls = list(lines.items())
             yield _rows([["l"] * len(ls), [k for k, _ in ls], [""] * len(ls), [v[0] for _, v in ls], [v[1] for _, v in ls]])
-        vocab.clear(), counts.clear(), lines.clear()
+        known.clear(), known.forms.clear(), counts.clear(), lines.clear()
         codes, held = [], 0
 
     for batch in batches:
@@ -134,8 +147,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                             entry[0] += 1
                             entry[1] += broken
                     text = BREAK.sub("", text)
-                for w in words_of(text):
-                    ids.append(vocab.setdefault(w, len(vocab)))
+                ids.extend(chain.from_iterable(map(known.__getitem__, text.split())))
                 ids.extend(gap)
         flat = np.array(ids, dtype=np.int64)
         if not len(flat):
@@ -152,7 +164,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         held += len(keys)
         if held > 3_000_000:
             merge()
-        if held > 2_000_000 or len(vocab) > 1_000_000:
+        if held > 2_000_000 or len(known) > 1_000_000:
             yield from emit()
     yield from emit()
 
@@ -236,6 +248,21 @@ def learn(texts: DataFrame) -> ScanModel:
     return ScanModel(counts, inner, outer, index, headers)
 
 
+class Pieces(dict):
+    """Memo from a blank-free piece of text to its words that may be misread."""
+
+    def __init__(self, repairer: Repairer):
+        super().__init__()
+        self.repairer = repairer
+
+    def __missing__(self, piece: str) -> tuple[str, ...]:
+        words = {w.lower() for w in WORD.findall(piece)} - self.repairer.common
+        out = tuple(w for w in words if not w.isdigit() and self.repairer.linked(w))
+        if len(self) < 500_000:
+            self[piece] = out
+        return out
+
+
 class Repairer:
     """Applies a ScanModel to single texts; memos are per task."""
 
@@ -245,6 +272,7 @@ class Repairer:
         # a frequent word that one glyph edit turns into a far more frequent one is suspect itself
         self.suspect = {w for w, n in model.counts.items() if any(model.counts[c] > RARE_RATIO * n for c in self._edits(w))}
         self.common = set(model.counts) - self.suspect
+        self.pieces = Pieces(self)
 
     def _edits(self, word: str) -> set[str]:
         """Frequent words that one or two glyph edits lead to."""
@@ -278,8 +306,7 @@ class Repairer:
         """Misrecognised words replaced where a linked word fits the context."""
         if not text:
             return text, 0
-        lowered = {w.lower() for w in WORD.findall(text)}
-        odd = {w for w in lowered - self.common if not w.isdigit() and self.linked(w)}
+        odd = set(chain.from_iterable(map(self.pieces.__getitem__, text.split())))
         if not odd:
             return text, 0
         spans = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
@@ -319,7 +346,9 @@ class Repairer:
                 text = "\n".join(kept)
         text, inline = PAGE_INLINE.subn(" ", text)
         furniture += inline
-        text, joined = BREAK.subn("", text)
+        joined = 0
+        if "\n" in text or "\xad" in text or "¬" in text:
+            text, joined = BREAK.subn("", text)
         closed = 0
 
         def close(m: re.Match) -> str:
