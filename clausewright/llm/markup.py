@@ -39,8 +39,8 @@ BLOCKS = frozenset("p div ul ol li table tr td th thead tbody tfoot caption h1 h
 IMPLIED = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "p": {"p"}, "tbody": {"td", "th", "tr", "thead", "tbody"}, "thead": {"td", "th", "tr"}, "item": {"item"}}
 
 TOKEN = re.compile(
-    r"(?P<comment><!--.*?-->)|(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>)|(?P<angle><[^<>\n]{1,60}>)|(?P<entity>&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
-    r"|(?P<env>\\(?:begin|end)\{[A-Za-z*]+\}(?:\{[lcr|p ]+\})?)|(?P<display>\\\[.+?\\\]|\$\$.+?\$\$)|(?P<math>\$[^$\n]{1,120}\$|\\\([^\n]+?\\\))|(?P<rowend>\\\\(?=\s))|(?P<command>\\[A-Za-z]+\*?(?:\{[^{}\n]*\})?)"
+    r"(?P<comment><!--(?:[^-]|-(?!->))*-->)|(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>)|(?P<angle><[^<>\n]{1,60}>)|(?P<entity>&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
+    r"|(?P<env>\\(?:begin|end)\{[A-Za-z*]+\}(?:\{[lcr|p ]+\})?)|(?P<display>\\\[[^\[\]]+?\\\]|\$\$[^$]+\$\$)|(?P<math>\$[^$\n]{1,120}\$|\\\([^\n]+?\\\))|(?P<rowend>\\\\(?=\s))|(?P<command>\\[A-Za-z]+\*?(?:\{[^{}\n]*\})?)"
     r"|(?P<fence>^[ \t]*(?:```|~~~)[^\n`]*$)|(?P<code>`[^`\n]{1,200}`)|(?P<wikitable>^[ \t]*\{\|[^\n]*$|^[ \t]*\|\}[ \t]*$)|(?P<wikirow>^[ \t]*\|-[^\n|]*$|^[ \t]*[!|][ \t][^\n|]*(?:(?:!!|\|\|)[^\n]*)?$)"
     r"|(?P<rule>^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$)|(?P<row>^[ \t]*\|[^\n]*\|[ \t]*$)|(?P<wikihead>^[ \t]*(?P<eq>={1,6})[ \t]*[^=\n]+?[ \t]*(?P=eq)[ \t]*$)"
     r"|(?P<head>^[ \t]{0,3}#{1,6}[ \t]+[^\n]+$)|(?P<bullet>^[ \t]*[*+\-•][ \t]+(?=\S))|(?P<quote>^[ \t]{0,3}>[ \t]+)|(?P<wikilink>\[\[[^\[\]\n]{1,120}\]\])|(?P<link>!?\[[^\[\]\n]{1,120}\]\([^()\s\n]{1,200}\))"
@@ -48,6 +48,8 @@ TOKEN = re.compile(
     r"|(?P<hash>#\d+)|(?P<bar>\|[^|\n]{1,20}\|)|(?P<star>\*)|(?P<template>\{\{[^{}\n]{1,80}\}\})",
     re.M | re.S,
 )
+#: where a token can start: a sign, or a line whose first character is one
+STARTS = re.compile(r"^[ \t]*(?=[-+*•#>=|{!`~:])|[<&\\$`#*_=|{\['~!]", re.M)
 #: what no text with markup can do without
 MAY_HOLD = r"[<&\\$`#*_=|{\['~•]|(?m)^[ \t]*[+\-][ \t]"
 PLACEHOLDER_LIKE = re.compile(r"(?i)^\W*(?:(?:to be|insert|enter|your|add|type|date to|tbd|tbc|todo|placeholder)\b.*|[A-Z]+(?:_[A-Z]+)+|[a-z]+_[a-z_]+|[a-z]+\.[a-z.]+)\W*$")
@@ -61,13 +63,22 @@ class Node:
         self.closed, self.features, self.until = False, (), -1
 
 
+def tokens(text: str) -> Iterator[re.Match]:
+    """TOKEN's matches, tried only where one can start."""
+    done = 0
+    for s in STARTS.finditer(text):
+        if s.start() >= done and (m := TOKEN.match(text, s.start())):
+            done = m.end()
+            yield m
+
+
 def parse(text: str) -> list[Node]:
     """The nodes in document order; node 0 is the root."""
     nodes = [Node("root", "", 0, len(text), -1)]
     stack = [0]
     group, group_end = -1, -1  # open list or table of consecutive lines
     fence = -1
-    for m in TOKEN.finditer(text):
+    for m in tokens(text):
         kind, start, end = m.lastgroup if m.lastgroup != "eq" else "wikihead", m.start(), m.end()
         token = m.group()
         if fence >= 0 and kind != "fence":
