@@ -334,7 +334,7 @@ CONVERTED = T.StructType([
 
 def read_cells(cells: DataFrame, unit_targets: DataFrame) -> DataFrame:
     """CONVERTED rows. ``unit_targets`` has one row per physical quantity, read by the driver (bounded by the grammar's quantities)."""
-    listed = [(r[0], r[1]) for r in unit_targets.filter(F.col("quantity").isin(list(DIMENSIONS))).select("quantity", "common_unit").distinct().collect()]
+    listed = [(r[0], r[1]) for r in unit_targets.filter(F.col("quantity").isin(list(DIMENSIONS)) & F.col("common_unit").isNotNull()).select("quantity", "common_unit").distinct().collect()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         targets = Targets(listed)
