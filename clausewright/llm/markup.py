@@ -336,7 +336,7 @@ def clean_text(text: str | None, model: TreeModel) -> tuple[str | None, int]:
         elif k == "command":
             inner = re.search(r"\{([^{}]*)\}", token)
             if name == "\\item":
-                out.append("- ")
+                out.append("-" if text[last:last + 1] == " " else "- ")
             elif name in ("\\section", "\\subsection", "\\chapter", "\\paragraph", "\\caption"):
                 out.append(f"\n{inner[1] if inner else ''}\n")
             elif name == "\\footnote":

@@ -63,7 +63,7 @@ def fitted_mean(sums: dict[int, int], target: float, cap: int) -> float:
 
 def sized_documents(documents: DataFrame, mix_targets: DataFrame, seed: int, vocabulary: str | None) -> DataFrame:
     """Documents of target labels with label, n_tokens and u."""
-    labels = [r[0] for r in mix_targets.select("source_label").distinct().limit(MAX_TARGETS + 1).collect()]
+    labels = [r[0] for r in mix_targets.select("source_label").filter(F.col("source_label").isNotNull()).distinct().limit(MAX_TARGETS + 1).collect()]
     if len(labels) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} target labels")
     own = documents.select("doc_id", "text", source_label(F.col("source")).alias("source_label")).filter(F.col("source_label").isin(labels) & F.col("text").isNotNull())
@@ -72,9 +72,15 @@ def sized_documents(documents: DataFrame, mix_targets: DataFrame, seed: int, voc
     return cut_lineage(count_tokens(own, vocabulary).filter("n_tokens > 0").withColumn("u", u))
 
 
+def target_rows(mix_targets: DataFrame) -> DataFrame:
+    """One row per label; repeated labels keep the largest share."""
+    rows = mix_targets.filter(F.col("source_label").isNotNull()).groupBy("source_label").agg(F.max(F.struct("target_share", "max_repeats")).alias("t"))
+    return rows.select("source_label", "t.target_share", "t.max_repeats")
+
+
 def copy_plan(sized: DataFrame, mix_targets: DataFrame) -> list[dict]:
     """Per target label: share, cap, documents, size, Poisson mean and thresholds."""
-    targets = {r["source_label"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in mix_targets.collect()}
+    targets = {r["source_label"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in target_rows(mix_targets).collect()}
     rows = sized.groupBy("source_label", F.floor(F.col("u") * BUCKETS).alias("bucket")).agg(F.sum("n_tokens").alias("size"), F.count("*").alias("n")).collect()
     sums: dict[str, dict[int, int]] = {}
     docs: dict[str, int] = {}
@@ -113,6 +119,6 @@ def reached_shares(documents: DataFrame, mix_targets: DataFrame, seed: int = 17,
     used = replicate(sized, copy_plan(sized, mix_targets), seed).groupBy("source_label").agg(
         F.sum("n_tokens").alias("used_tokens"), F.max("copy_no").alias("most_repeats"), F.count_distinct("doc_id").alias("used_documents"))
     whole = used.agg(F.sum("used_tokens").alias("__whole"))
-    return mix_targets.join(used, "source_label", "left").join(F.broadcast(whole)).select(
+    return target_rows(mix_targets).join(used, "source_label", "left").join(F.broadcast(whole)).select(
         "source_label", "target_share", "max_repeats", F.coalesce("used_documents", F.lit(0)).alias("used_documents"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(F.col("used_tokens") / F.col("__whole"), F.lit(0.0)).alias("reached_share"))

@@ -57,7 +57,7 @@ PARTICLES = r"(?:(?:van|von) de[rn]?|van|von|de|del|da|di|zu|ter|VAN|VON|DE|Van|
 WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+|[A-ZÀ-ÖØ-Þ]{2,}"
 NAME_TOKEN = re.compile(rf"(?:{WORD})(?:-(?:{WORD}))*|\b[A-ZÀ-ÖØ-Þ]\.|\b{PARTICLES}\b")
 CITY = r"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]+(?: (?:am |an der |de |sur |del )?[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]+){0,2}"
-EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@|\s?[\[(](?:at|AT|ät|arroba)[\])]\s?)[A-Za-z0-9-]+(?:(?:\.|[ ]?[\[(](?:dot|punkt|point)[\])][ ]?)[A-Za-z0-9-]+)+")
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@|\s?[\[(](?:at|AT|ät|arroba)[\])]\s?)[A-Za-z0-9-]+(?:(?:\.|[ ]?[\[(](?:dot|punkt|point)[\])][ ]?)[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"(?<![\w+./-])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d[\d .-]{5,14}\d|00\d{1,3}[ .-]\d[\d .-]{5,14}\d|\(0?\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{2,6}(?:[ .-]\d{2,4})?|0\d{1,4}[/ -]\d{3,8}(?:[ -]\d{1,5}){0,3}|\d{3}-\d{4}|\+\d{8,14})(?![\w]|[-./]\d)")
 ID = re.compile(r"(?<![\w.+/-])(?:\d{3}-\d{2}-\d{4}|\d{2}\.\d{2}\.\d{2}-\d{3}\.\d{2}|\d{2} \d{3} \d{3} \d{3}|[A-Z]{1,3}\d{6,9}[A-Z]?|\d{7,9}[A-Z]|\d{6}-\d{4}|\d{9,12}|\d{3} \d{2} \d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z])(?![\w]|[-/]\d|\.\d)")
 STREETS = (
@@ -69,7 +69,7 @@ STREETS = (
     r"\d+(?: ?(?:bis|ter|[a-z]))?,? (?:rue|avenue|boulevard|chemin|place|impasse|allée|quai|route) (?:de la |de l'|du |des |de |d')?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?",
     r"(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino|C/) (?:de la |del |de )?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?,? (?:n\.?º ?)?\d+",
 )
-STREET_RE = [re.compile(r"(?<![\wÀ-ÿ])" + p) for p in STREETS]
+STREET_RE = [re.compile(r"(?<![\wÀ-ÿ-])" + p) for p in STREETS]
 PLACE = re.compile(rf"[,\s]{{1,3}}(?:\d{{4,5}} {CITY}|{CITY} \d{{4,5}}|{CITY}(?=[.,;\n]|$))")
 AROUND = re.compile(r"[^\W\d_]+|n°")
 
