@@ -1,11 +1,17 @@
 """The clause graph: nodes, containment and reference edges, closures, neighbourhoods, contexts.
 
-Keys always carry the document. Closures are semi-naive: each level joins only the newly reached
-frontier with the edges, drops what was visited, and is checkpointed; all seeds advance together.
+Keys always carry the document. A document whose graph has at most ``LOCAL_EDGES`` edges is searched
+inside tasks, its seeds spread over as many tasks as they need (``SEEDS_PER_TASK``); beyond that bound
+the closure is semi-naive over DataFrames: each level joins only the newly reached frontier with the
+edges, drops what was visited, and is checkpointed, all seeds advancing together. Both give the same
+rows.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +19,8 @@ from clausewright.functions import text as tx
 from clausewright.session import cut_lineage
 
 KEY = ["reg_doc", "node"]
+LOCAL_EDGES = 500_000
+SEEDS_PER_TASK = 64
 
 
 def clause_nodes(clauses: DataFrame) -> DataFrame:
@@ -49,7 +57,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select("reg_doc", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def closure(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, both: bool = False, blocked: DataFrame | None = None) -> DataFrame:
+def closure(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, both: bool = False, blocked: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(reg_doc, seed, node, hops) reachable from ``starts`` (reg_doc, seed, node), starts at 0 hops.
 
     ``both`` follows edges either way; nodes in ``blocked`` (reg_doc, node) are neither entered nor left.
@@ -59,8 +67,52 @@ def closure(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, bo
         edges = edges.join(blocked.withColumnRenamed("node", "src"), ["reg_doc", "src"], "left_anti").join(blocked.withColumnRenamed("node", "dst"), ["reg_doc", "dst"], "left_anti")
     if both:
         edges = edges.unionByName(reversed_edges(edges))
-    edges = cut_lineage(edges.distinct())
-    frontier = cut_lineage(starts.select("reg_doc", "seed", "node").distinct())
+    edges = cut_lineage(edges.select("reg_doc", "src", "dst").distinct())
+    starts = cut_lineage(starts.select("reg_doc", "seed", "node").distinct())
+    large = cut_lineage(edges.groupBy("reg_doc").count().filter(F.col("count") > local_edges).select("reg_doc"))
+    if large.isEmpty():
+        return _search_in_tasks(starts, edges, max_hops)
+    own, there = starts.join(large, "reg_doc", "left_semi"), edges.join(large, "reg_doc", "left_semi")
+    return _search_in_tasks(starts.join(large, "reg_doc", "left_anti"), edges.join(large, "reg_doc", "left_anti"), max_hops).unionByName(_search_by_levels(own, there, max_hops))
+
+
+def _search_in_tasks(starts: DataFrame, edges: DataFrame, max_hops: int | None) -> DataFrame:
+    parts = starts.groupBy("reg_doc").agg(F.ceil(F.count_distinct("seed") / SEEDS_PER_TASK).alias("parts"))
+    placed = starts.join(parts, "reg_doc").withColumn("part", F.pmod(F.xxhash64("seed"), F.col("parts"))).select("reg_doc", "part", "seed", "node")
+    tasks = placed.select(F.col("reg_doc").alias("doc"), F.col("part").alias("task")).distinct()
+    copies = edges.join(tasks, F.col("reg_doc") == F.col("doc")).select("doc", "task", "src", "dst")
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        after: dict[str, list[str]] = defaultdict(list)
+        for s, t in zip(right.column("src").to_pylist(), right.column("dst").to_pylist()):
+            after[s].append(t)
+        begin: dict[str, list[str]] = defaultdict(list)
+        for seed, node in zip(left.column("seed").to_pylist(), left.column("node").to_pylist()):
+            begin[seed].append(node)
+        doc = left.column("reg_doc")[0].as_py() if left.num_rows else None
+        seeds, nodes, hops = [], [], []
+        for seed, frontier in begin.items():
+            seen = dict.fromkeys(frontier, 0)
+            hop = 0
+            while frontier and (max_hops is None or hop < max_hops):
+                hop += 1
+                reached = []
+                for n in frontier:
+                    for t in after.get(n, ()):
+                        if t not in seen:
+                            seen[t] = hop
+                            reached.append(t)
+                frontier = reached
+            seeds += [seed] * len(seen)
+            nodes += seen.keys()
+            hops += seen.values()
+        return pa.table([pa.array([doc] * len(seeds), pa.string()), pa.array(seeds, pa.string()), pa.array(nodes, pa.string()), pa.array(hops, pa.int32())], names=["reg_doc", "seed", "node", "hops"])
+
+    return placed.groupBy("reg_doc", "part").cogroup(copies.groupBy("doc", "task")).applyInArrow(search, "reg_doc string, seed string, node string, hops int")
+
+
+def _search_by_levels(starts: DataFrame, edges: DataFrame, max_hops: int | None) -> DataFrame:
+    frontier = cut_lineage(starts)
     visited = frontier.withColumn("hops", F.lit(0))
     hop = 0
     while (max_hops is None or hop < max_hops) and not frontier.isEmpty():
@@ -89,7 +141,9 @@ def context(seeds: DataFrame, nodes: DataFrame, anc: DataFrame, refs: DataFrame,
     formatting root, the root's subtree with its own reference closure. With ``exclude_testing``
     testing clauses are neither entered nor returned, except that containment passes through them.
     """
-    start = seeds.select("reg_doc", F.col("node").alias("seed"), "node").join(nodes, KEY, "left_semi")
+    # each relation is used by several parts
+    anc, refs, labels = cut_lineage(anc), cut_lineage(refs), cut_lineage(labels)
+    start = cut_lineage(seeds.select("reg_doc", F.col("node").alias("seed"), "node").join(nodes, KEY, "left_semi"))
     blocked = labels.filter(F.col("category").isin(*tx.TESTING)).select(*KEY) if exclude_testing else None
     up = start.join(anc, KEY).select("reg_doc", "seed", F.col("ancestor").alias("node"), "depth")
     roots = up.join(labels.filter("category = 'formatting'").select(*KEY), KEY, "left_semi").groupBy("reg_doc", "seed").agg(F.min_by("node", "depth").alias("root"), F.min("depth").alias("root_depth"))

@@ -41,6 +41,12 @@ def test_closures(spark, parts):
     assert G.closure(seeds(spark, "5").limit(0), refs).count() == 0
 
 
+def test_both_ways_of_searching_agree(spark, parts):
+    refs, start = parts[3], seeds(spark, *[c for c, _ in CLAUSES])
+    for both in (False, True):
+        assert pairs(G.closure(start, refs, both=both), "seed", "node", "hops") == pairs(G.closure(start, refs, both=both, local_edges=0), "seed", "node", "hops")
+
+
 def test_blocking_only_removes(spark, parts):
     _, nodes, anc, refs = parts
     labels = spark.createDataFrame([("d", "4", "formatting"), ("d", "4.2", "test_execution"), ("d", "4.1.2", "test_condition")], "reg_doc string, node string, category string")
