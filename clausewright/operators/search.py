@@ -19,18 +19,20 @@ def overlap_score(query: Column, text: Column) -> Column:
 def top_matches(queries: DataFrame, index: DataFrame, k: int = 8) -> DataFrame:
     """(query_id, rank, reg_doc, node, score): best ``k`` clauses per query by (score, id) descending.
 
-    Queries of one document are matched with the clauses of that document; an inverted index on words
-    of four letters and more supplies the candidates, so no pair without a common word is formed. The
-    exact score counts substrings, as a word may occur inside another; therefore the index holds the
-    suffixes of each word that are longer than three letters.
+    A query word counts where it occurs as a substring. As it holds no blank, it lies inside one token of the
+    text, so it is matched with the distinct tokens of its document (by its first four letters, then exactly),
+    and those lead to the clauses through a token index; no query is paired with a clause without a hit.
     """
-    q = queries.select("query_id", "reg_doc", "query", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 3))).alias("word"))
-    text = F.concat_ws(" ", "title", "text_preview")
-    # every query word is searched as a substring: candidates share its first four letters somewhere
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, F.lit(4)))
-    docs = index.select("reg_doc", "node", text.alias("body"), F.explode(F.array_distinct(grams(F.lower(text)))).alias("gram"))
-    pairs = q.withColumn("gram", F.substring("word", 1, 4)).join(docs, ["reg_doc", "gram"]).select("query_id", "reg_doc", "query", "node", "body").distinct()
-    scored = pairs.withColumn("score", overlap_score(F.col("query"), F.col("body"))).filter("score > 0")
+    every = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 3)
+    words = queries.select("query_id", "reg_doc", F.explode(every).alias("word")).groupBy("query_id", "reg_doc", "word").agg(F.count("*").alias("times"))
+    text = F.lower(F.concat_ws(" ", "title", "text_preview"))
+    postings = index.select("reg_doc", "node", F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("token")).filter(F.length("token") > 3)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 3), lambda i: F.substring("token", i, F.lit(4))))
+    tokens = postings.select("reg_doc", "token").distinct().select("reg_doc", "token", F.explode(grams).alias("gram"))
+    wanted = words.select("reg_doc", "word").distinct().withColumn("gram", F.substring("word", 1, 4))
+    inside = wanted.join(tokens, ["reg_doc", "gram"]).filter(F.col("token").contains(F.col("word"))).select("reg_doc", "word", "token").distinct()
+    holds = inside.join(postings, ["reg_doc", "token"]).select("reg_doc", "word", "node").distinct()
+    scored = words.join(holds, ["reg_doc", "word"]).groupBy("query_id", "reg_doc", "node").agg(F.sum("times").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("node"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "reg_doc", "node", "score")
 

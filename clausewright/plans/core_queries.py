@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.operators import hierarchy, orphans, units
-from clausewright.sources.tables import table
+from clausewright.sources.tables import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.foreign_units(units.measured_cells(table(spark, d, "regulation_tables"), table(spark, d, "test_cases")), table(spark, d, "unit_targets"))
+    return units.foreign_units(units.measured_cells(spread(table(spark, d, "regulation_tables")), spread(table(spark, d, "test_cases"))), table(spark, d, "unit_targets"))
 
 
 def p1_converted(spark: SparkSession, d: str) -> DataFrame:
-    return units.converted(units.measured_cells(table(spark, d, "regulation_tables"), table(spark, d, "test_cases")), table(spark, d, "unit_targets"))
+    return units.converted(units.measured_cells(spread(table(spark, d, "regulation_tables")), spread(table(spark, d, "test_cases"))), table(spark, d, "unit_targets"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
