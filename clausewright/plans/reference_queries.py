@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as tx
-from clausewright.operators import generated, graph, grids, labels, lines, repair, requirements, search, trace
+from clausewright.operators import generated, graph, grids, labels, lines, links, providers, repair, requirements, search, trace
 from clausewright.plans import sql
 from clausewright.sources.tables import table
 
@@ -607,3 +607,78 @@ def q70_page_correlation(spark, d):
     return trace.correlate(targets, blocks)
 
 
+# -- links, tree, prompts, providers -------------------------------------------------------------
+
+@query(f"""WITH {sql.NODES}, r AS (SELECT reg_doc, clause_key, u.pos, {sql.cid('clause_id')} AS source_id, {sql.cid('u.ref')} AS target FROM clauses, unnest(reference_ids) WITH ORDINALITY AS u(ref, pos) WHERE NOT is_pseudo_clause AND u.ref IS NOT NULL),
+f AS (SELECT reg_doc, source_id, lower(target) AS t, arg_min(target, (clause_key, pos)) AS target_id FROM r WHERE target <> '' GROUP BY 1, 2, 3)
+SELECT f.reg_doc, f.source_id, f.target_id, CASE WHEN n.node IS NOT NULL THEN 'clause' WHEN starts_with(lower(f.target_id), 'annex') THEN 'annex' ELSE 'unknown' END AS target_type FROM f LEFT JOIN nodes n ON n.reg_doc = f.reg_doc AND n.node = f.target_id""")
+def q71_reference_links(spark, d):
+    return links.reference_links(_clauses(spark, d), _nodes(spark, d))
+
+
+_SECTIONS = """p AS (SELECT reg_doc, section_path[1:u.l] AS p, u.l AS level FROM clauses, unnest(generate_series(1, len(section_path))) AS u(l) WHERE len(section_path) > 0),
+tree AS (SELECT DISTINCT reg_doc, array_to_string(p, ' > ') AS path, CASE WHEN level > 1 THEN array_to_string(p[1:level - 1], ' > ') END AS parent_path, p[level] AS title, level FROM p)"""
+
+
+@query(f"""WITH {_SECTIONS} SELECT reg_doc, parent_path AS source, 'parent_of' AS relation, path AS target FROM tree WHERE parent_path IS NOT NULL UNION ALL
+SELECT reg_doc, array_to_string(section_path, ' > '), 'contains', CAST(clause_key AS VARCHAR) FROM clauses WHERE len(section_path) > 0""")
+def q72_structural_links(spark, d):
+    return links.structural_links(_clauses(spark, d))
+
+
+@query(f"SELECT DISTINCT reg_doc, {sql.cid('owner_clause_id')} AS source_id, table_id AS target_id FROM regulation_tables WHERE owner_clause_id IS NOT NULL")
+def q73_table_links(spark, d):
+    return links.table_links(table(spark, d, "regulation_tables"))
+
+
+@query(f"WITH {_SECTIONS} SELECT reg_doc, CAST(level AS BIGINT) AS level, count(*) AS sections FROM tree GROUP BY 1, 2")
+def q74_sections_by_depth(spark, d):
+    return links.document_tree(_clauses(spark, d))[0].groupBy("reg_doc", F.col("level").cast("long").alias("level")).agg(F.count("*").alias("sections"))
+
+
+@query(f"""WITH {sql.BEST} SELECT reg_doc, node, reg_doc || ', ' || CASE WHEN regexp_matches(node, '^\\d') THEN 'paragraph ' || node ELSE node END || CASE WHEN coalesce(trim(title), '') <> '' THEN ' (' || trim(title) || ')' ELSE '' END AS citation,
+array_to_string(list_filter(section_path, lambda p: trim(p) <> ''), ' > ') AS path, node || chr(10) || CASE WHEN length(coalesce(title, '')) > 28 THEN left(title, 27) || '…' ELSE coalesce(title, '') END AS label,
+replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped FROM best""")
+def q75_citations_and_labels(spark, d):
+    return _best(spark, d).select("reg_doc", "node", links.citation(F.col("reg_doc"), F.col("node"), F.col("title")).alias("citation"), links.full_path(F.col("section_path")).alias("path"), links.node_label(F.col("node"), F.col("title")).alias("label"), links.html_escaped(F.col("title")).alias("escaped"))
+
+
+@query("""WITH t AS (SELECT DISTINCT ON (table_id) table_id, row_maps FROM regulation_tables)
+SELECT table_id, array_to_string(list_transform(row_maps, lambda m, i: 'Row ' || i || ': ' || array_to_string(list_transform(list_filter(list_sort(map_entries(m)), lambda e: coalesce(trim(e.value), '') <> ''), lambda e: e.key || ' = ' || e.value), ' | ')), chr(10)) AS text FROM t""")
+def q76_table_text(spark, d):
+    return _tables(spark, d).select("table_id", links.table_text(F.col("row_maps")).alias("text"))
+
+
+@query(f"""WITH {sql.BEST}, c AS (SELECT reg_doc, node, string_agg(legal_text, chr(10) ORDER BY requirement_id) AS context FROM (SELECT DISTINCT requirement_id, reg_doc, {sql.cid('source_clause_id')} AS node, legal_text FROM requirements) GROUP BY 1, 2)
+SELECT b.reg_doc, b.node, 'Clause ' || b.node || ': ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(c.context, '(none)') AS prompt FROM best b LEFT JOIN c ON c.reg_doc = b.reg_doc AND c.node = b.node""")
+def q77_clause_prompts(spark, d):
+    r = table(spark, d, "requirements").select("requirement_id", "reg_doc", tx.canonical_id(F.col("source_clause_id")).alias("node"), "legal_text").distinct()
+    context = r.groupBy("reg_doc", "node").agg(F.array_join(F.array_sort(F.collect_list(F.struct("requirement_id", "legal_text")))["legal_text"], "\n").alias("context"))
+    rows = _best(spark, d).join(context, ["reg_doc", "node"], "left")
+    return rows.select("reg_doc", "node", providers.clause_prompt(F.col("node"), F.col("title"), F.col("text"), F.col("context")).alias("prompt"))
+
+
+@query("""WITH a AS (SELECT uid, CASE document_region WHEN 'body' THEN 'obligation' WHEN 'annex' THEN 'nonsense' WHEN 'form' THEN 'administrative' END AS category, CASE WHEN line_start % 2 = 0 THEN 'binding' ELSE 'often' END AS force, is_pseudo_clause FROM (SELECT DISTINCT ON (uid) * FROM clauses ORDER BY uid, clause_key))
+SELECT uid, CASE WHEN is_pseudo_clause THEN 'formatting' WHEN category IN ('obligation', 'administrative') THEN category ELSE 'informative' END AS category,
+  CASE WHEN is_pseudo_clause OR category IS NULL THEN 'none' WHEN force = 'binding' THEN 'binding' WHEN category = 'obligation' THEN 'binding' ELSE 'none' END AS force FROM a""")
+def q78_checked_labels(spark, d):
+    """Answers with invented ids, unknown categories and forces, brackets and gaps, made valid."""
+    rows = repair.pick(_clauses(spark, d).select("uid", "clause_key", "document_region", "line_start", "is_pseudo_clause"), ["uid"], F.col("clause_key"))
+    region = F.col("document_region")
+    category = F.when(region == "body", "obligation").when(region == "annex", "nonsense").when(region == "form", "administrative")
+    answers = rows.filter(category.isNotNull()).select(F.concat(F.lit("["), "uid", F.lit("]")).alias("uid"), category.alias("category"), F.when(F.col("line_start") % 2 == 0, "binding").otherwise("often").alias("force"))
+    invented = answers.withColumn("uid", F.concat(F.lit("invented-"), "uid"))
+    return providers.checked_labels(answers.unionByName(invented), rows)
+
+
+@query(f"""SELECT reg_doc, node, count(*) AS cases FROM (SELECT DISTINCT test_id, reg_doc, {sql.cid('c')} AS node FROM (SELECT test_id, reg_doc, unnest(source_clause_ids) AS c FROM test_cases)) GROUP BY 1, 2""")
+def q79_cases_per_clause(spark, d):
+    return _cases(spark, d).select("test_id", "reg_doc", F.explode("source_clause_ids").alias("c")).select("test_id", "reg_doc", tx.canonical_id(F.col("c")).alias("node")).distinct().groupBy("reg_doc", "node").agg(F.count("*").alias("cases"))
+
+
+@query("""SELECT requirement_id AS key, 'TC for ' || requirement_id || ': ' || length(legal_text) AS answer, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT ON (requirement_id) * FROM requirements)""")
+def q80_provider_calls(spark, d):
+    """The generation step with a rule in the model's place."""
+    r = table(spark, d, "requirements").dropDuplicates(["requirement_id"]).withColumn("prompt", F.concat_ws("|", "requirement_id", "legal_text"))
+    rule = providers.RuleProvider(lambda p: f"TC for {p.partition('|')[0]}: {len(p.partition('|')[2])}")
+    return providers.ask(r, "requirement_id", "prompt", rule)
