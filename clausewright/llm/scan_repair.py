@@ -43,10 +43,10 @@ GLYPHS = (
     ("rn", "m"), ("cl", "d"), ("ii", "u"), ("ii", "n"), ("vv", "w"), ("h", "li"), ("1", "i"), ("1", "l"), ("0", "o"), ("5", "s"), ("c", "e"), ("b", "h"), ("f", "t"), ("9", "g"),
     ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("'i'", "t"), ("8", "b"), ("6", "b"), ("ri", "n"), ("|", "l"), ("lc", "k"), ("2", "z"), ("nn", "m"), ("q", "g"),
 )
-BREAK = re.compile(r"(?<=[^\W\d_])[-­¬‐‑][ \t]*\r?\n\s*(?=[^\W\d_])|(?<=\w)­\s*(?=\w)|(?<=[^\W\d_])¬\s*(?=[^\W\d_])")
+BREAK = re.compile(r"(?<=[^\W\d_])[-­¬‐‑][ \t\f]*\r?\n\s*(?=[^\W\d_])|(?<=\w)­\s*(?=\w)|(?<=[^\W\d_])¬\s*(?=[^\W\d_])")
 SPACED = re.compile(r"(?<!\S)[^\s|](?:[ \u00a0]+[^\s|]){3,}(?!\S)")
 WORD = re.compile(r"'I'[^\W_]+|[^\W_]+(?:['|][^\W_]+)*")
-PAGE_LINE = re.compile(r"^[ \t]*(?:[-–—]+ ?\d{1,5} ?[-–—]+|\d{1,5}|\d{1,4} ?/ ?\d{1,4}|\[?(?:p|pp|pg|page|seite|página|pág)\.? ?\d{1,5}(?: ?(?:of|von|de|sur|/) ?\d{1,5})?\]?)[ \t]*$", re.I)
+PAGE_LINE = re.compile(r"^[ \t\f\v\r]*(?:[-–—]+ ?\d{1,5} ?[-–—]+|\d{1,5}|\d{1,4} ?/ ?\d{1,4}|\[?(?:p|pp|pg|page|seite|página|pág)\.? ?\d{1,5}(?: ?(?:of|von|de|sur|/) ?\d{1,5})?\]?)[ \t\f\v\r]*$", re.I)
 PAGE_INLINE = re.compile(r"(?<!\S)(?:[—–] ?\d{1,5} ?[—–]|\[(?:p|pp|page)\.? ?\d{1,5}\]|Page \d{1,5} of \d{1,5})(?!\S)")
 SENTENCE_END = re.compile(r"[.;:!?)\]>|}*]\s*$")
 
