@@ -160,7 +160,7 @@ def context(seeds: DataFrame, nodes: DataFrame, anc: DataFrame, refs: DataFrame,
     part3 = top.unionByName(top.join(down, KEY).select("reg_doc", "seed", F.col("descendant").alias("node"))).distinct()
     part4 = closure(part3, refs, None if transitive else 2, both, blocked).select("reg_doc", "seed", "node")
     out = chain.unionByName(part1).unionByName(part2).unionByName(siblings).unionByName(part3).unionByName(part4).distinct()
-    return out if blocked is None else out.join(blocked, KEY, "left_anti")
+    return out if blocked is None else out.join(blocked, KEY, "left_anti").select("reg_doc", "seed", "node")
 
 
 def subtree_order(nodes: DataFrame) -> DataFrame:
