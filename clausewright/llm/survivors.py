@@ -2,9 +2,10 @@
 
 Groups. Copies share document, container (body, form, a certain annex) and number, whatever the
 spelling. A row whose container is not stated (bare number, path missing or cut short) is placed
-by evidence shared with placed rows of the same document and number: delivery uid, word shingles
-of five, path labels and title, joined on equal tokens (no pairs are formed). A row without enough
-evidence goes to the container its region suggests.
+by truth discovery over kinds of evidence shared with placed rows of the same document and number:
+word shingles of five, path labels, title and delivery uid, joined on equal tokens (no pairs are
+formed). Container support and the kinds' reliability are estimated alternately. A row without
+enough evidence goes to the container its region suggests, or stays apart.
 
 Fields. Each copy votes for its value of each field. Source reliability and value support are
 estimated alternately until they settle: a value's support is the sum of its sources' weights, more
@@ -26,7 +27,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausewright.session import cut_lineage
@@ -36,6 +36,7 @@ FIELDS = ("clause_id", "section_path", "document_region", "title", "text")
 SHINGLE = 5
 MAX_PARSERS = 10_000
 BROADCAST_ROWS = 100_000
+PATTERN_VALUES = 1_000
 
 
 def clause_number(clause_id: Column) -> Column:
@@ -64,23 +65,53 @@ def with_identity(clauses: DataFrame) -> DataFrame:
     return clauses.withColumns({"number": within, "container": container, "region": region})
 
 
+KINDS = ("text", "path", "title", "uid")
+#: prior weights of the kinds of evidence, in the order of KINDS
+KIND_PRIOR = (1.0, 0.8, 0.4, 1.2)
+
+
 def evidence(rows: DataFrame) -> DataFrame:
-    """(clause_key, reg_doc, number, container, token, weight, is_text) of rows; distinct per row."""
+    """(clause_key, reg_doc, number, container, kind, token, n): tokens of each kind, distinct per row, and how many the row has of it."""
     words = F.filter(F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
     w = F.col("__w")
     shingles = F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "))))
-    labels = F.transform(F.coalesce("section_path", F.array().cast("array<string>")), lambda p: F.xxhash64(F.lit("path"), F.lower(F.trim(p))))
-    base = rows.withColumn("__w", words).select(
-        "clause_key", "reg_doc", "number", "container",
-        F.array_distinct(F.coalesce(shingles, F.array().cast("array<bigint>"))).alias("s"), F.array_distinct(labels).alias("l"),
-        F.filter(F.array(F.when(F.col("title").isNotNull(), F.xxhash64(F.lit("title"), F.lower("title"))), F.when(F.col("uid").isNotNull(), F.xxhash64(F.lit("uid"), "uid"))), lambda x: x.isNotNull()).alias("t"),
-    )
-    tokens = F.concat(
-        F.transform("s", lambda x: F.struct(x.alias("token"), F.lit(1.0).alias("weight"), F.lit(1).alias("is_text"))),
-        F.transform("l", lambda x: F.struct(x.alias("token"), F.lit(3.0).alias("weight"), F.lit(0).alias("is_text"))),
-        F.transform("t", lambda x: F.struct(x.alias("token"), F.lit(2.0).alias("weight"), F.lit(0).alias("is_text"))),
-    )
-    return base.withColumn("n_text", F.size("s")).select("clause_key", "reg_doc", "number", "container", "n_text", F.inline(tokens))
+    labels = F.transform("section_path", lambda p: F.xxhash64(F.lower(F.trim(p))))
+    single = lambda c: F.when(F.col(c).isNotNull(), F.array(F.xxhash64(F.lower(c))))
+    none = F.array().cast("array<bigint>")
+    held = [F.array_distinct(F.coalesce(x, none)) for x in (shingles, labels, single("title"), single("uid"))]
+    base = rows.withColumn("__w", words).select("clause_key", "reg_doc", "number", "container", *[x.alias(f"t{i}") for i, x in enumerate(held)])
+
+    def kind(i: int) -> Column:
+        return F.transform(f"t{i}", lambda x: F.struct(F.lit(i).alias("kind"), x.alias("token"), F.size(f"t{i}").alias("n")))
+
+    tokens = F.concat(*map(kind, range(len(KINDS))))
+    return base.select("clause_key", "reg_doc", "number", "container", F.inline(tokens))
+
+
+def placed_by_evidence(votes_: DataFrame, rounds: int = 10, settle: float = 1e-3) -> DataFrame:
+    """(clause_key, found): the container of each row by truth discovery over kinds of evidence.
+
+    ``votes_`` has (clause_key, container, s0..s3): the share of the row's tokens of each kind that the
+    container's placed rows hold. A container's support is the weighted sum of these shares; a kind is as
+    reliable as its share at the winner is near its best share anywhere. Only four weights reach the driver.
+    """
+    votes_ = cut_lineage(votes_)
+    weights = list(KIND_PRIOR)
+    shares = [F.col(f"s{i}") for i in range(len(KINDS))]
+    for _ in range(rounds):
+        total = sum((s * w for s, w in zip(shares, weights)), F.lit(0.0))
+        best = votes_.groupBy("clause_key").agg(F.max_by(F.struct(*[f"s{i}" for i in range(len(KINDS))]), F.struct(total.alias("t"), "container")).alias("w"), *[F.max(f"s{i}").alias(f"m{i}") for i in range(len(KINDS))])
+        row = best.agg(*[F.sum(f"w.s{i}").alias(f"a{i}") for i in range(len(KINDS))], *[F.sum(f"m{i}").alias(f"b{i}") for i in range(len(KINDS))]).first()
+        fresh = []
+        for i, prior in enumerate(KIND_PRIOR):
+            share = min(0.98, max(0.02, ((row[f"a{i}"] or 0.0) + 20 * 0.8) / ((row[f"b{i}"] or 0.0) + 20)))
+            fresh.append(prior * (0.5 + 0.25 * math.log(share / (1 - share))))
+        moved = max(abs(x - y) for x, y in zip(weights, fresh))
+        weights = fresh
+        if moved < settle:
+            break
+    total = sum((s * w for s, w in zip(shares, weights)), F.lit(0.0))
+    return votes_.groupBy("clause_key").agg(F.max_by("container", F.struct(total.alias("t"), "container")).alias("found"))
 
 
 def grouped(clauses: DataFrame, least_overlap: float = 0.25) -> DataFrame:
@@ -94,11 +125,14 @@ def grouped(clauses: DataFrame, least_overlap: float = 0.25) -> DataFrame:
     few = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
     placed = rows.filter(F.col("container").isNotNull()).join(few, ["reg_doc", "number"], "left_semi")
     own = evidence(unplaced).drop("container")
-    known = evidence(placed).select("reg_doc", "number", "container", "token")
-    shared = own.join(known, ["reg_doc", "number", "token"]).groupBy("clause_key", "container", "token", "n_text").agg(F.max("weight").alias("weight"), F.max("is_text").alias("is_text")).groupBy("clause_key", "container").agg(F.sum("weight").alias("score"), F.sum("is_text").alias("texts"), F.max("n_text").alias("n_text"))
+    known = evidence(placed).select("reg_doc", "number", "container", "kind", "token")
+    shared = own.join(known, ["reg_doc", "number", "kind", "token"]).groupBy("clause_key", "container", "kind", "token").agg(F.max("n").alias("n"))
+    per_kind = shared.groupBy("clause_key", "container").agg(*[f for i in range(len(KINDS)) for f in (F.count_if(F.col("kind") == i).alias(f"c{i}"), F.coalesce(F.max(F.when(F.col("kind") == i, F.col("n"))), F.lit(1)).alias(f"n{i}"))])
+    lengths = own.filter("kind = 0").groupBy("clause_key").agg(F.max("n").alias("n_text"))
+    per_kind = per_kind.join(lengths, "clause_key", "left").withColumns({f"s{i}": F.col(f"c{i}") / F.col(f"n{i}") for i in range(len(KINDS))})
     # enough of the text is shared, or there is too little text to tell, or path and title agree
-    enough = (F.col("texts") >= least_overlap * F.col("n_text")) & (F.col("texts") >= 1) | (F.col("n_text") < 4) | (F.col("score") - F.col("texts") >= 5)
-    best = shared.filter(enough).groupBy("clause_key").agg(F.max_by("container", F.struct("score", "texts", "container")).alias("found"))
+    enough = (F.col("s0") >= least_overlap) | (F.coalesce("n_text", F.lit(0)) < 4) | (3 * F.col("c1") + 2 * F.col("c2") + 2 * F.col("c3") >= 5)
+    best = placed_by_evidence(per_kind.filter(enough).select("clause_key", "container", *[f"s{i}" for i in range(len(KINDS))]))
     # a row whose evidence fits no placed row may only meet its equals, unless no placed body row contradicts that it is one
     bodies = placed.filter("container = 'body'").select("reg_doc", "number").distinct().withColumn("has_body", F.lit(True))
     n_words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
@@ -138,12 +172,11 @@ def completeness(field: str) -> Column:
 def votes(clauses: DataFrame, groups: DataFrame, parsers: list[str]) -> DataFrame:
     """One row per (group, field, value): its parsers' vote counts, completeness, recency and the row to take it from."""
     parser = F.coalesce(F.try_element_at(F.create_map(*[x for i, p in enumerate(parsers) for x in (F.lit(p), F.lit(i + 1))]) if parsers else F.create_map().cast("map<string,int>"), F.col("parser_name")), F.lit(0))
-    size = groups.groupBy("group_id").agg(F.count("*").alias("copies")).filter("copies > 1")
-    rows = clauses.select("clause_key", "parser_name", "ingested_at", *FIELDS).join(groups.join(size, "group_id"), "clause_key")
+    rows = clauses.select("clause_key", "parser_name", "ingested_at", *FIELDS).join(groups, "clause_key")
+    size = rows.groupBy("group_id").agg(F.count("*").alias("copies"), F.max("ingested_at").alias("latest")).filter("copies > 1")
+    rows = rows.join(size, "group_id")
     value = {f: F.xxhash64(F.lit(f), F.to_json("section_path") if f == "section_path" else F.regexp_replace(F.lower(F.col(f)), r"\s+", " ")) for f in FIELDS}
-    cells = rows.select("group_id", "clause_key", parser.alias("parser"), "ingested_at", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value[f].alias("value"), completeness(f).alias("full")) for f in FIELDS])).alias("c")).select("group_id", "clause_key", "parser", "ingested_at", "c.*")
-    late = F.col("ingested_at") == F.max("ingested_at").over(W.partitionBy("group_id", "field"))
-    cells = cells.filter("full > 0").withColumn("late", late.cast("int"))
+    cells = rows.select("group_id", "clause_key", parser.alias("parser"), F.coalesce(F.col("ingested_at") == F.col("latest"), F.lit(False)).cast("int").alias("late"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value[f].alias("value"), completeness(f).alias("full")) for f in FIELDS])).alias("c")).select("group_id", "clause_key", "parser", "late", "c.*").filter("full > 0")
     per_parser = cells.groupBy("group_id", "field", "value", "parser").agg(F.count("*").alias("n"), F.max("full").alias("full"), F.max("late").alias("late"), F.min("clause_key").alias("clause_key"))
     return per_parser.groupBy("group_id", "field", "value").agg(F.array_sort(F.collect_list(F.struct("parser", "n"))).alias("by"), F.max("full").alias("full"), F.max("late").alias("late"), F.min("clause_key").alias("clause_key"))
 
@@ -158,14 +191,20 @@ def support(by: Column, full: Column, late: Column, weights: list[float]) -> Col
 def discover(vote_rows: DataFrame, parsers: list[str], prior: list[float], rounds: int = 12, settle: float = 1e-3) -> list[float]:
     """Weights of the sources (0: unknown parsers) after alternating estimation over voting patterns."""
     candidate = F.struct("full", "late", "by")
-    patterns = vote_rows.groupBy("group_id", "field").agg(F.array_sort(F.collect_list(candidate)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("times"))
-    patterns = cut_lineage(patterns.filter(F.size("pattern") > 1))
+    sizes = vote_rows.groupBy("group_id", "field").agg(F.count("*").alias("values")).filter("values > 1")
+    few = vote_rows.join(sizes.filter(F.col("values") <= PATTERN_VALUES), ["group_id", "field"], "left_semi")
+    patterns = cut_lineage(few.groupBy("group_id", "field").agg(F.array_sort(F.collect_list(candidate)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("times")))
+    # groups with more values than a pattern may hold are judged row by row
+    rest = cut_lineage(vote_rows.join(sizes.filter(F.col("values") > PATTERN_VALUES), ["group_id", "field"], "left_semi"))
     weights = list(prior)
     for _ in range(rounds):
         scored = patterns.select("times", F.transform("pattern", lambda c: F.struct(support(c["by"], c["full"], c["late"], weights).alias("s"), c["by"].alias("by"))).alias("p"))
         top = F.array_max(F.transform("p", lambda c: c["s"]))
         each = scored.select("times", F.explode(F.transform("p", lambda c: F.struct((c["s"] >= top).cast("int").alias("won"), c["by"].alias("by")))).alias("c"))
-        tally = each.select("times", "c.won", F.inline("c.by")).groupBy("parser").agg(F.sum(F.col("times") * F.col("n") * F.col("won")).alias("won"), F.sum(F.col("times") * F.col("n")).alias("cast")).collect()
+        judged = rest.withColumn("s", support(F.col("by"), F.col("full"), F.col("late"), weights))
+        tops = judged.groupBy("group_id", "field").agg(F.max("s").alias("top"))
+        single = judged.join(tops, ["group_id", "field"]).select(F.lit(1).cast("long").alias("times"), (F.col("s") >= F.col("top")).cast("int").alias("won"), F.inline("by"))
+        tally = each.select("times", "c.won", F.inline("c.by")).unionByName(single).groupBy("parser").agg(F.sum(F.col("times") * F.col("n") * F.col("won")).alias("won"), F.sum(F.col("times") * F.col("n")).alias("cast")).collect()
         fresh = list(prior)
         for r in tally:
             share = (r["won"] + 20 * prior[r["parser"]]) / (r["cast"] + 20)

@@ -65,3 +65,11 @@ def test_hostile_tables(tables):
     assert S.survivors(hostile.clashing(c), hostile.clashing(t)).count() == groups
     assert S.survivors(hostile.with_nulls(c), hostile.with_nulls(t)).count() >= groups and S.survivors(c, hostile.empty(t)).count() == groups
     assert S.survivors(hostile.empty(c), t).count() == 0 and S.survivors(hostile.repeated(c), t).count() == groups
+
+
+def test_large_groups_are_judged_row_by_row(spark, clauses, trust, monkeypatch):
+    parsers, prior = S.trusted_parsers(trust)
+    rows = S.votes(clauses, S.grouped(clauses), parsers)
+    want = S.discover(rows, parsers, prior)
+    monkeypatch.setattr(S, "PATTERN_VALUES", 1)
+    assert S.discover(rows, parsers, prior) == pytest.approx(want)
