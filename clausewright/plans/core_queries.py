@@ -64,8 +64,19 @@ free AS (SELECT reg_doc, section_id AS n FROM ids),
 reach AS (SELECT reg_doc, p AS a, c AS b FROM links UNION SELECT r.reg_doc, r.a, l.c FROM reach r JOIN links l ON l.reg_doc = r.reg_doc AND l.p = r.b),
 looped AS (SELECT DISTINCT reg_doc, a FROM reach WHERE a = b)
 SELECT reg_doc, a AS section_id FROM looped UNION SELECT r.reg_doc, r.b FROM reach r JOIN looped l ON l.reg_doc = r.reg_doc AND l.a = r.a"""
+_P4_TREE = _P4.replace("\nSELECT reg_doc, a AS section_id FROM looped", ",\nbad AS (SELECT reg_doc, a AS section_id FROM looped", 1) + """),
+own AS (SELECT reg_doc, section_id, min(parent_id) AS declared, min(concat_ws('. ', section_number, title)) AS label FROM sections GROUP BY 1, 2),
+par AS (SELECT o.reg_doc, o.section_id, o.label, coalesce(d.section_id, (SELECT min(p) FROM links l WHERE l.reg_doc = o.reg_doc AND l.c = o.section_id)) AS parent_id, b.section_id IS NOT NULL AS in_loop
+  FROM own o LEFT JOIN ids d ON d.reg_doc = o.reg_doc AND d.section_id = o.declared LEFT JOIN bad b ON b.reg_doc = o.reg_doc AND b.section_id = o.section_id),
+walk AS (SELECT reg_doc, section_id, [section_id] AS path, [coalesce(label, '')] AS labels FROM par WHERE NOT in_loop AND parent_id IS NULL
+  UNION ALL SELECT p.reg_doc, p.section_id, w.path || [p.section_id], w.labels || [coalesce(p.label, '')] FROM walk w JOIN par p ON p.reg_doc = w.reg_doc AND p.parent_id = w.section_id AND NOT p.in_loop),
+below AS (SELECT reg_doc, u.a AS ancestor_id, section_id, len(path) - u.no AS distance FROM walk, unnest(path) WITH ORDINALITY AS u(a, no) WHERE u.no < len(path))
+"""
 ORACLE: dict[str, str] = {
     "p2_found": _P2 + "SELECT * FROM found",
     "p2_report": _P2 + "SELECT src_table, ref_month, count(*) AS orphans, count(DISTINCT src_key) AS records FROM found GROUP BY 1, 2",
     "p4_found": _P4,
+    "p4_hierarchy": _P4_TREE + """SELECT p.reg_doc, p.section_id, p.parent_id, w.path[1] AS root_id, len(w.path) - 1 AS depth, array_to_string(w.path, ' > ') AS path, array_to_string(w.labels, ' > ') AS labels,
+  CASE WHEN w.path IS NOT NULL THEN (SELECT count(*) FROM below b WHERE b.reg_doc = p.reg_doc AND b.ancestor_id = p.section_id) END AS n_descendants, p.in_loop FROM par p LEFT JOIN walk w ON w.reg_doc = p.reg_doc AND w.section_id = p.section_id""",
+    "p4_descendants": _P4_TREE + "SELECT reg_doc, ancestor_id, section_id, distance FROM below",
 }
