@@ -167,3 +167,16 @@ def is_furniture_gap(gap: Column) -> Column:
     """Nothing, or at most three short lines without a heading or a number that starts a clause."""
     lines = F.filter(F.transform(F.split(F.coalesce(gap, F.lit("")), r"\n"), lambda x: F.trim(x)), lambda x: x != "")
     return (F.size(lines) == 0) | ((F.size(lines) <= 3) & (F.length(F.array_join(lines, "")) <= 200) & ~F.exists(lines, lambda x: x.startswith("#") | x.rlike(r"^\d+(\.\d+)+\.?\s")))
+
+
+# Words that mark a line above a table as its title.
+TITLE_WORDS = r"(?i)maximum|subject vehicle test speed|test speed|impact speed|scenario"
+
+
+def title_before(text: Column) -> Column:
+    """Title of the first pipe table in ``text``: of the last eight lines above it the nearest with a title word, else the nearest."""
+    above = F.split(F.regexp_extract(text, r"^((?:(?![ \t]*\|)[^\n]*\n)*)[ \t]*\|", 1), r"\n")
+    bare = F.filter(F.transform(above, lambda x: tx.collapse(F.regexp_replace(F.trim(x), r"^#+\s*", ""))), lambda x: (x != "") & ~F.lower(x).startswith("all values"))
+    last = F.reverse(F.slice(bare, F.greatest(F.size(bare) - 7, F.lit(1)), 8))
+    marked = F.filter(last, lambda x: x.rlike(TITLE_WORDS))
+    return F.coalesce(F.try_element_at(marked, F.lit(1)), F.try_element_at(last, F.lit(1)), F.lit(""))

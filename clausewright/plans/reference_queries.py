@@ -682,3 +682,30 @@ def q80_provider_calls(spark, d):
     r = table(spark, d, "requirements").dropDuplicates(["requirement_id"]).withColumn("prompt", F.concat_ws("|", "requirement_id", "legal_text"))
     rule = providers.RuleProvider(lambda p: f"TC for {p.partition('|')[0]}: {len(p.partition('|')[2])}")
     return providers.ask(r, "requirement_id", "prompt", rule)
+
+
+@query("""WITH t AS (SELECT DISTINCT ON (table_id) table_id, coalesce(owner_clause_id, '') AS o, lower(concat_ws(' ', coalesce(title, ''), coalesce(owner_clause_id, ''), array_to_string(headers, ' '))) AS x, lower(concat_ws(' ', coalesce(title, ''), array_to_string(headers, ' '))) AS u FROM regulation_tables)
+SELECT table_id, CASE WHEN contains(x, 'subject vehicle test speed') OR regexp_matches(o, '^6\\.[4-7]') THEN 'test_speed_matrix' WHEN contains(x, 'maximum') AND contains(x, 'impact speed') THEN 'performance_limit' WHEN starts_with(lower(o), 'annex 1') OR contains(x, 'approval') AND contains(x, 'signature') THEN 'form' ELSE 'unknown' END AS table_type,
+  concat_ws(';', CASE WHEN contains(u, 'km/h') OR contains(u, 'k m / h') THEN 'speed=km/h' END, CASE WHEN contains(u, 'm/s') OR contains(u, 'm / s') THEN 'acceleration=m/s^2' END, CASE WHEN contains(u, 'lux') THEN 'illumination=lux' END) AS units FROM t""")
+def q81_table_type_units(spark, d):
+    t = _tables(spark, d)
+    heads = F.array_join("headers", " ")
+    return t.select("table_id", grids.table_type(F.col("title"), F.col("owner_clause_id"), heads).alias("table_type"), grids.stated_units(F.col("title"), heads).alias("units"))
+
+
+@query(rf"""WITH m AS (SELECT DISTINCT ON (table_id) table_id, raw_markdown FROM regulation_tables WHERE raw_markdown IS NOT NULL), l AS (SELECT table_id, u.no, u.line, regexp_matches(u.line, '^[ \t]*\|') AS pipe FROM m, unnest(string_split(raw_markdown, chr(10))) WITH ORDINALITY AS u(line, no)),
+f AS (SELECT table_id, min(no) AS first_pipe FROM l WHERE pipe GROUP BY 1), b AS (SELECT l.table_id, l.no, {sql.bare('l.line')} AS x FROM l JOIN f ON f.table_id = l.table_id AND l.no < f.first_pipe),
+k AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY no DESC) AS back FROM b WHERE x <> '' AND NOT starts_with(lower(x), 'all values')),
+c AS (SELECT table_id, coalesce(arg_min(x, back) FILTER (WHERE regexp_matches(x, '(?i)maximum|subject vehicle test speed|test speed|impact speed|scenario')), arg_min(x, back)) AS title FROM k WHERE back <= 8 GROUP BY 1)
+SELECT m.table_id, coalesce(c.title, '') AS title FROM m LEFT JOIN c ON c.table_id = m.table_id""")
+def q82_table_title_before(spark, d):
+    return _tables(spark, d).filter(F.col("raw_markdown").isNotNull()).select("table_id", grids.title_before(F.col("raw_markdown")).alias("title"))
+
+
+@query("""SELECT category, CAST(('0x' || substr(colour, 2, 2)) AS INT) / 255 AS r, CAST(('0x' || substr(colour, 4, 2)) AS INT) / 255 AS g, CAST(('0x' || substr(colour, 6, 2)) AS INT) / 255 AS b, n FROM (
+  SELECT category, '#' || left(md5(category), 6) AS colour, n FROM (SELECT requirement_type AS category, count(*) AS n FROM requirements GROUP BY 1) WHERE category IS NOT NULL)""")
+def q83_category_colours(spark, d):
+    """Colour components per category for overlays; the colour is drawn from the category's digest."""
+    rows = table(spark, d, "requirements").filter("requirement_type IS NOT NULL").groupBy(F.col("requirement_type").alias("category")).agg(F.count("*").alias("n"))
+    r, g, b = tx.rgb(F.concat(F.lit("#"), F.substring(F.md5(F.col("category").cast("binary")), 1, 6)))
+    return rows.select("category", r.alias("r"), g.alias("g"), b.alias("b"), "n")
