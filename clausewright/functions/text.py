@@ -16,8 +16,16 @@ TESTING = ("test_condition", "test_execution", "test_procedure", "test_setup")
 TEST_RELEVANT = (*TESTABLE, "test_condition", "test_setup")
 # Top-level numbers of body clauses and the region they stand for.
 REGION_BY_NUMBER = {"1": "scope", "2": "definitions", "3": "administrative", "4": "administrative", "5": "specifications", "6": "test_procedure", "7": "administrative", "8": "administrative", "9": "administrative", "10": "administrative", "11": "administrative", "12": "administrative"}
+# Patterns of modal words, reference lists, form fields and contents lines.
 MODAL = r"(?i)\b(shall|must|may|when|if|there shall|the vehicle|the system)\b"
 
+REFERENCE_LIST = r"(?i)\b(?:paragraphs?|paras?\.?)\s+((?:\d+(?:\.\d+)*\.?\s*(?:(?:,|and|or|to|-)\s*)?)+)"
+ANNEX_REFERENCE = r"(?i)\bannex\s+(\d+)"
+FORM_FILLER = r"[.…_]{3,}"
+FORM_END = r":\s*[.…_ ]*$"
+CONTENTS_NUMBER = r"^\d+(\.\d+)*\.?\s+.+\.{2,}\s*\d+\s*$"
+CONTENTS_ANNEX = r"(?i)^(Appendix\s+\d+|Annex\s+\d+)\s+.+\.{2,}\s*\d+\s*$"
+
 
 def collapse(text: Column) -> Column:
     """Runs of blanks (also non-breaking) become one, ends are trimmed."""
@@ -107,8 +115,8 @@ def looks_like_title(text: Column) -> Column:
 
 def looks_like_form_field(title: Column) -> Column:
     t = F.trim(title)
-    filler = t.rlike(r"[.…_]{3,}")
-    ends = t.rlike(r":\s*[.…_ ]*$")
+    filler = t.rlike(FORM_FILLER)
+    ends = t.rlike(FORM_END)
     return F.coalesce(F.when(t == "", False).when(ends, filler | (F.size(F.split(t, r"\s+")) <= 8)).otherwise(t.contains(":") & filler), F.lit(False))
 
 
@@ -117,14 +125,14 @@ def is_noise_line(line: Column) -> Column:
 
 
 def is_contents_line(line: Column) -> Column:
-    return line.rlike(r"^\d+(\.\d+)*\.?\s+.+\.{2,}\s*\d+\s*$") | line.rlike(r"(?i)^(Appendix\s+\d+|Annex\s+\d+)\s+.+\.{2,}\s*\d+\s*$")
+    return line.rlike(CONTENTS_NUMBER) | line.rlike(CONTENTS_ANNEX)
 
 
 def text_references(text: Column) -> Column:
     """Sorted distinct clause and annex numbers that a text refers to ("paragraphs 3.2 and 4", "Annex 2")."""
-    lists = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:paragraphs?|paras?\.?)\s+((?:\d+(?:\.\d+)*\.?\s*(?:(?:,|and|or|to|-)\s*)?)+)"), F.lit(1))
+    lists = F.regexp_extract_all(text, F.lit(REFERENCE_LIST), F.lit(1))
     numbers = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"\d+(?:\.\d+)*"), F.lit(0))))
-    annexes = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bannex\s+(\d+)"), F.lit(1)), lambda n: F.concat(F.lit("Annex "), n))
+    annexes = F.transform(F.regexp_extract_all(text, F.lit(ANNEX_REFERENCE), F.lit(1)), lambda n: F.concat(F.lit("Annex "), n))
     return F.array_sort(F.array_distinct(F.concat(F.coalesce(numbers, F.array().cast("array<string>")), F.coalesce(annexes, F.array().cast("array<string>")))))
 
 

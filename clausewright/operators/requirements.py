@@ -24,6 +24,7 @@ def requirement_sentences(clauses: DataFrame, key: str = "clause_key", text: str
     return kept.groupBy(key, F.lower("sentence").alias("low")).agg(F.min(F.struct("pos", "sentence")).alias("x")).select(key, "x.pos", "x.sentence")
 
 
+# The key words of requirement_type, actor and has_acceptance, first match wins.
 def requirement_type(title: Column, text: Column, region: Column) -> Column:
     low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), text))
     has = lambda *w: [low.contains(x) for x in w]

@@ -14,5 +14,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     Large inputs have more splits than cores and pass through unchanged, so nothing is shuffled there.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    context = df.sparkSession.sparkContext
+    conf = context.getConf()
+    # executors may still be registering when a query is planned
+    asked = int(conf.get("spark.executor.instances", "0")) * int(conf.get("spark.executor.cores", "1"))
+    cores = max(context.defaultParallelism, asked)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
