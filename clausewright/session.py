@@ -6,6 +6,7 @@ Lineage is cut with ``checkpoint()`` only, into the folder that the cluster name
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from the driver's path, wherever the driver was started.
+
+    It holds where executors see the same folder; elsewhere the package is shipped with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *([paths] if paths else [])])
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists in whatever file system it names."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
