@@ -1,7 +1,10 @@
 """Repair of text from scanned pages: skip-gram vectors, glyph edits in context, furniture, reflow.
 
-1. One pass over the whole corpus counts words, word pairs within two places, and short-line
-   templates. Tasks add up their own counts before the shuffle.
+1. Equal texts are brought together with the number of their copies. One pass over them counts
+   words, word pairs within two places, and short-line templates, by copies and by distinct texts:
+   what is frequent, or rare beside another form, by either count is so. Thus neither a text
+   delivered many times hides its misread words nor does a word of one repeated title get lost.
+   Tasks add up their own counts before the shuffle.
 2. From these counts the driver learns skip-gram vectors with negative sampling. It only reads
    words and pairs above a *relative* frequency (``WORD_SHARE``, ``PAIR_SHARE``), so what it reads
    is bounded by 1/share whatever the corpus size.
@@ -35,6 +38,7 @@ PAIR_SHARE = 4e-6
 LINE_SHARE = 2e-6
 DIMENSIONS = 24
 WINDOW = 2
+COUNTED = ["kind", "a", "b", "n", "m", "dn", "dm"]
 RARE_RATIO = 50
 FIT = 0.12
 
@@ -97,11 +101,12 @@ def close_spaced(match_text: str) -> str:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, a, b, n, m): words (w), pairs (p) and line templates (l) with how often one breaks a sentence (m)."""
+    """Rows (kind, a, b, n, m, dn, dm) from (text, copies): words (w), pairs (p) and line templates (l) with how
+    often one breaks a sentence (m), by copies (n, m) and by distinct texts (dn, dm)."""
     known = WordIds()
-    codes: list[tuple[np.ndarray, np.ndarray]] = []
+    codes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held = 0
-    counts = Counter()
+    counts, distinct = Counter(), Counter()
     lines: dict[str, list[int]] = {}
     base = 1 << 31
 
@@ -109,58 +114,66 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         nonlocal codes, held
         if codes:
             keys, n = np.unique(np.concatenate([c[0] for c in codes]), return_inverse=True)
-            sums = np.bincount(n, weights=np.concatenate([c[1] for c in codes])).astype(np.int64)
-            codes, held = [(keys, sums)], len(keys)
+            sums = [np.bincount(n, weights=np.concatenate([c[k] for c in codes])).astype(np.int64) for k in (1, 2)]
+            codes, held = [(keys, *sums)], len(keys)
 
     def emit() -> Iterator[pa.RecordBatch]:
         nonlocal codes, held
         merge()
         names = list(known.forms)
-        wn = [(w, counts[i]) for w, i in known.forms.items()]
-        cols = [["w"] * len(wn), [w for w, _ in wn], [""] * len(wn), [n for _, n in wn], [0] * len(wn)]
-        yield _rows(cols)
+        zeros = [0] * len(names)
+        yield _rows([["w"] * len(names), names, [""] * len(names), [counts[i] for i in known.forms.values()], zeros, [distinct[i] for i in known.forms.values()], zeros])
         if codes:
-            keys, sums = codes[0]
+            keys, sums, texts = codes[0]
             own = pa.array(names, pa.string())
             left, right = own.take(pa.array(keys // base)), own.take(pa.array(keys % base))
             zero = pa.array(np.zeros(len(keys), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(["p"] * len(keys)), left, right, pa.array(sums), zero], names=["kind", "a", "b", "n", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(["p"] * len(keys)), left, right, pa.array(sums), zero, pa.array(texts), zero], names=COUNTED)
         if lines:
             ls = list(lines.items())
-            yield _rows([["l"] * len(ls), [k for k, _ in ls], [""] * len(ls), [v[0] for _, v in ls], [v[1] for _, v in ls]])
-        known.clear(), known.forms.clear(), counts.clear(), lines.clear()
+            yield _rows([["l"] * len(ls), [k for k, _ in ls], [""] * len(ls), *([v[i] for _, v in ls] for i in range(4))])
+        known.clear(), known.forms.clear(), counts.clear(), distinct.clear(), lines.clear()
         codes, held = [], 0
 
     for batch in batches:
         ids: list[int] = []
+        weights: list[int] = []
+        sizes: list[int] = []
         gap = [-1] * WINDOW
-        for column in batch.columns:
-            for text in column.to_pylist():
-                if not text:
-                    continue
-                if "\n" in text:
-                    parts = text.split("\n")
-                    for i, line in enumerate(parts):
-                        if (t := line_template(line)) is not None:
-                            broken = 0 < i < len(parts) - 1 and _open_end(parts, i)
-                            entry = lines.setdefault(t, [0, 0])
-                            entry[0] += 1
-                            entry[1] += broken
-                    text = BREAK.sub("", text)
-                ids.extend(chain.from_iterable(map(known.__getitem__, text.split())))
-                ids.extend(gap)
+        for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if "\n" in text:
+                parts = text.split("\n")
+                for i, line in enumerate(parts):
+                    if (t := line_template(line)) is not None:
+                        broken = 0 < i < len(parts) - 1 and _open_end(parts, i)
+                        entry = lines.setdefault(t, [0, 0, 0, 0])
+                        entry[0] += copies
+                        entry[1] += copies * broken
+                        entry[2] += 1
+                        entry[3] += broken
+                text = BREAK.sub("", text)
+            before = len(ids)
+            ids.extend(chain.from_iterable(map(known.__getitem__, text.split())))
+            ids.extend(gap)
+            weights.append(copies)
+            sizes.append(len(ids) - before)
         flat = np.array(ids, dtype=np.int64)
         if not len(flat):
             continue
-        present, n = np.unique(flat[flat >= 0], return_counts=True)
-        counts.update(dict(zip(present.tolist(), n.tolist())))
-        found = []
+        copies_at = np.repeat(np.array(weights, dtype=np.int64), sizes)
+        present, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+        sums = np.bincount(at, weights=copies_at).astype(np.int64)
+        words = present >= 0
+        counts.update(dict(zip(present[words].tolist(), sums[words].tolist())))
+        distinct.update(dict(zip(present[words].tolist(), n[words].tolist())))
+        found, copied = [], []
         for step in range(1, WINDOW + 1):
             a, b = flat[:-step], flat[step:]
             ok = (a >= 0) & (b >= 0)
             found.append(a[ok] * base + b[ok])
-        keys, n = np.unique(np.concatenate(found), return_counts=True)
-        codes.append((keys, n.astype(np.int64)))
+            copied.append(copies_at[:-step][ok])
+        keys, at, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        codes.append((keys, np.bincount(at, weights=np.concatenate(copied), minlength=len(keys)).astype(np.int64), n.astype(np.int64)))
         held += len(keys)
         if held > 3_000_000:
             merge()
@@ -170,8 +183,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _rows(cols: list[list]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "a", "b", "n", "m"])
+    kinds = [pa.string()] * 3 + [pa.int64()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=COUNTED)
 
 
 def _open_end(parts: list[str], i: int) -> bool:
@@ -182,14 +195,19 @@ def _open_end(parts: list[str], i: int) -> bool:
 
 @dataclass
 class ScanModel:
-    """Frequent words with their counts and vectors, and running-header templates."""
+    """Frequent words with their counts by copies and by distinct texts, their vectors, and running-header templates."""
 
     counts: dict[str, int] = field(default_factory=dict)
+    distinct: dict[str, int] = field(default_factory=dict)
     inner: np.ndarray | None = None
     outer: np.ndarray | None = None
     index: dict[str, int] = field(default_factory=dict)
     headers: frozenset[str] = frozenset()
 
+    def dwarfs(self, word: str, other: str) -> bool:
+        """``word`` is more than RARE_RATIO times as frequent as ``other``, by copies or by distinct texts."""
+        return any(n[word] > RARE_RATIO * max(1, n.get(other, 0)) for n in (self.counts, self.distinct))
+
     def fit(self, word: str, around: list[str]) -> float:
         """Mean skip-gram probability of the words around ``word``; 1 where nothing is known around it."""
         rows = [self.index[a] for a in around if a in self.index]
@@ -231,21 +249,22 @@ def train_skip_gram(counts: dict[str, int], pairs: list[tuple[str, str, int]], d
 
 def learn(texts: DataFrame) -> ScanModel:
     """``texts``: string columns only."""
-    raw = texts.mapInArrow(_count_batches, "kind string, a string, b string, n long, m long")
-    stats = raw.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).persist()
+    each = texts.select(F.explode(F.array(*texts.columns)).alias("t")).filter("t <> ''").groupBy("t").agg(F.count("*").alias("copies"))
+    raw = each.mapInArrow(_count_batches, "kind string, a string, b string, n long, m long, dn long, dm long")
+    stats = raw.groupBy("kind", "a", "b").agg(*[F.sum(c).alias(c) for c in COUNTED[3:]]).persist()
     try:
-        totals = {r["kind"]: r["n"] for r in stats.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-        if not totals.get("w"):
+        totals = {r["kind"]: r for r in stats.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("dn").alias("dn")).collect()}
+        if "w" not in totals:
             return ScanModel()
-        least = {k: max(3.0, totals.get(k, 0) * s) for k, s in (("w", WORD_SHARE), ("p", PAIR_SHARE), ("l", LINE_SHARE))}
-        kept = stats.filter(" OR ".join(f"(kind = '{k}' AND n >= {v})" for k, v in least.items())).filter("kind <> 'l' OR m >= 2").collect()
+        least = [(k, c, max(3.0, totals[k][c] * s)) for k, s in (("w", WORD_SHARE), ("p", PAIR_SHARE), ("l", LINE_SHARE)) if k in totals for c in ("n", "dn")]
+        kept = stats.filter(" OR ".join(f"(kind = '{k}' AND {c} >= {v})" for k, c, v in least)).filter("kind <> 'l' OR m >= 2").collect()
     finally:
         stats.unpersist()
-    counts = {r["a"]: r["n"] for r in kept if r["kind"] == "w"}
-    pairs = [(r["a"], r["b"], r["n"]) for r in kept if r["kind"] == "p"]
-    index, inner, outer = train_skip_gram(counts, pairs)
-    headers = frozenset(r["a"] for r in kept if r["kind"] == "l" and r["m"] >= 0.02 * r["n"])
-    return ScanModel(counts, inner, outer, index, headers)
+    counts, distinct = ({r["a"]: r[c] for r in kept if r["kind"] == "w"} for c in ("n", "dn"))
+    pairs = [(r["a"], r["b"], r["dn"]) for r in kept if r["kind"] == "p"]
+    index, inner, outer = train_skip_gram(distinct, pairs)
+    headers = frozenset(r["a"] for r in kept if r["kind"] == "l" and (r["m"] >= 0.02 * r["n"] or r["dm"] >= 0.02 * r["dn"]))
+    return ScanModel(counts, distinct, inner, outer, index, headers)
 
 
 class Pieces(dict):
@@ -270,7 +289,7 @@ class Repairer:
         self.model = model
         self.links: dict[str, tuple[str, ...]] = {}
         # a frequent word that one glyph edit turns into a far more frequent one is suspect itself
-        self.suspect = {w for w, n in model.counts.items() if any(model.counts[c] > RARE_RATIO * n for c in self._edits(w))}
+        self.suspect = {w for w in model.counts if any(model.dwarfs(c, w) for c in self._edits(w))}
         self.common = set(model.counts) - self.suspect
         self.pieces = Pieces(self)
 
@@ -298,8 +317,7 @@ class Repairer:
         if word not in self.links:
             if len(self.links) > 200_000:
                 self.links.clear()
-            n = self.model.counts.get(word, 0)
-            self.links[word] = tuple(sorted(c for c in self._edits(word) if self.model.counts[c] > RARE_RATIO * max(1, n) and c not in self.suspect))
+            self.links[word] = tuple(sorted(c for c in self._edits(word) if self.model.dwarfs(c, word) and c not in self.suspect))
         return self.links[word]
 
     def correct(self, text: str) -> tuple[str, int]:

@@ -50,3 +50,18 @@ def test_hostile_tables(tables):
     assert plain and found(hostile.clashing(c)) == plain and found(hostile.empty(c)) == set()
     bad = hostile.with_nulls(c)
     assert found(bad) and S.repaired_clauses(bad).count() == bad.count() and len(found(hostile.repeated(c)) ^ plain) <= 3
+
+
+def test_a_misread_text_copied_to_a_third_of_the_rows(spark):
+    """Its misread words are frequent by rows, yet stand in one text only."""
+    rows = [(f"{a} {b} Item {chr(97 + i % 26)}{chr(97 + i // 26)}x.",) for i in range(60) for a in BASE for b in BASE]
+    hot = "The wam1ng lamp must show the state fr0m the sensor. The drivcr shall reduce the speed."
+    copied = spark.createDataFrame([*rows, *[(hot,)] * (len(rows) // 2)], "text string")
+    fix = S.Repairer(S.learn(copied))
+    assert "drivcr" in fix.suspect and fix.repair(hot)[0].endswith("The driver shall reduce the speed.") and fix.repair(hot)[3] == 1
+
+
+def test_a_word_of_one_repeated_title_stays_frequent(spark):
+    rows = [(f"{a} {b}", "Vocabulary") for a in BASE for b in BASE] * 12
+    fix = S.Repairer(S.learn(spark.createDataFrame([*rows, (BASE[0], "V0cabulary")], "text string, title string")))
+    assert fix.repair("V0cabulary")[0] == "Vocabulary"
