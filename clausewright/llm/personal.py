@@ -6,8 +6,9 @@ by class, neighbouring characters, whether its words occur in lower case in the
 a threshold calibrated on held-out documents decides; of overlapping spans the best one stays, and
 placeholders take the place of the kept ones. Training documents are written by
 ``training_documents`` from invented names; the corpus contributes only its vocabulary of
-lower-case words, counted over all documents, of which the driver reads those in more than
-``DOCUMENT_SHARE`` of the documents (so no more than an average document's words over that share).
+lower-case words, counted over all distinct texts, of which the driver reads those in more than
+``DOCUMENT_SHARE`` of them (so no more than an average text's words over that share). Words that
+only open sentences may be given names too: names are proposed with and without them.
 
 Defined results: null, empty and blank texts hold nothing; positions count code points; repeated
 documents are treated alike; a null doc_id is kept; empty tables give empty results; extra
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -74,8 +75,11 @@ PLACE = re.compile(rf"[,\s]{{1,3}}(?:\d{{4,5}} {CITY}|{CITY} \d{{4,5}}|{CITY}(?=
 AROUND = re.compile(r"[^\W\d_]+|n°")
 
 
-def name_spans(text: str, known: frozenset[str]) -> Iterator[Span]:
-    """Runs of capitalised words outside the lower-case vocabulary, with initials and particles; single ones after a title."""
+def name_spans(text: str, known: frozenset[str], openers: frozenset[str] = frozenset()) -> Iterator[Span]:
+    """Runs of capitalised words outside the lower-case vocabulary, with initials and particles; single ones after a title.
+
+    Runs that hold ``openers``, known words only seen to open sentences, are proposed whole as well.
+    """
     tokens = [(m.start(), m.end(), m.group()) for m in NAME_TOKEN.finditer(text) if not text[m.start() - 1:m.start()].isalnum() and not text[m.end():m.end() + 1].isalnum()]
     run: list[tuple[int, int, str]] = []
 
@@ -98,13 +102,24 @@ def name_spans(text: str, known: frozenset[str]) -> Iterator[Span]:
                 out.append(w)
         return out
 
-    def flush() -> Iterator[Span]:
+    def pieces_of(parting: Callable[[str], bool]) -> list[list[tuple[int, int, str]]]:
         pieces: list[list[tuple[int, int, str]]] = [[]]
         for t in run:
-            if ordinary(t[2]) or re.fullmatch(TITLES, t[2]):
+            if parting(t[2]) or re.fullmatch(TITLES, t[2]):
                 pieces.append([])
             else:
                 pieces[-1].append(t)
+        return pieces
+
+    def flush() -> Iterator[Span]:
+        pieces = pieces_of(ordinary)
+        if openers and any(t[2].lower() in openers for t in run):
+            whole = pieces_of(lambda w: ordinary(w) and w.lower() not in openers)
+            for p in whole:
+                # an opener after the name belongs to the next sentence, but for "HOLTMIRE, Fenmora"
+                while len(p) > 1 and p[-1][2].lower() in openers and text[p[-2][1]:p[-1][0]] != ", ":
+                    p.pop()
+            pieces += [p for p in whole if p not in pieces and any(not ordinary(t[2]) and not is_initial(t[2]) and not is_particle(t[2]) for t in p)]
         for piece in pieces:
             while piece and (is_particle(piece[-1][2]) and piece[-1][2].islower()):
                 piece.pop()
@@ -131,7 +146,7 @@ def name_spans(text: str, known: frozenset[str]) -> Iterator[Span]:
     yield from flush()
 
 
-def candidates(text: str, known: frozenset[str]) -> list[Span]:
+def candidates(text: str, known: frozenset[str], openers: frozenset[str] = frozenset()) -> list[Span]:
     out = [Span("email", m.start(), m.end(), int("@" in m.group())) for m in EMAIL.finditer(text)]
     if any(c.isdigit() for c in text):
         for m in PHONE.finditer(text):
@@ -148,7 +163,7 @@ def candidates(text: str, known: frozenset[str]) -> list[Span]:
                     start += w.end()
                 place = PLACE.match(text, m.end())
                 out.append(Span("address", start, place.end() if place else m.end(), form + 10 * bool(place)))
-    out.extend(name_spans(text, known))
+    out.extend(name_spans(text, known, openers))
     return out
 
 
@@ -283,13 +298,13 @@ BASE_WORDS = frozenset(FUNCTION_WORDS.split()) | frozenset(w.lower() for t in (*
 
 
 class Detector:
-    def __init__(self, trees: BoostedTrees, thresholds: dict[str, float], known: frozenset[str]):
-        self.trees, self.thresholds, self.known = trees, thresholds, known
+    def __init__(self, trees: BoostedTrees, thresholds: dict[str, float], known: frozenset[str], openers: frozenset[str] = frozenset()):
+        self.trees, self.thresholds, self.known, self.openers = trees, thresholds, known, openers
 
     def scored(self, texts: list[str | None]) -> list[list[tuple[float, Span]]]:
         spans, rows, owner = [], [], []
         for i, t in enumerate(texts):
-            for s in candidates(t, self.known) if t else ():
+            for s in candidates(t, self.known, self.openers) if t else ():
                 spans.append(s)
                 rows.append(featurise(t, s, self.known))
                 owner.append(i)
@@ -345,33 +360,54 @@ def trained(documents: int = 2500, seed: int = 7) -> tuple[BoostedTrees, dict[st
 
 
 LOWER_WORD = re.compile(r"(?<![^\W_])[a-zß-öø-ÿ]{2,}(?![^\W_])")
-#: a capitalised word that opens a sentence and is followed by a small one; not after initials and titles
-OPENING_WORD = re.compile(r"(?:^|\n|(?<![A-Z])(?<!Dr)(?<!Mr)(?<!Ms)(?<!Mrs)(?<!Prof)(?<!Eng)[.!?]\s)\s*([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)(?=\s+[a-zß-öø-ÿ])")
+#: a capitalised word that opens a sentence and is followed by a small one, no particle of a name; not after initials and titles
+OPENING_WORD = re.compile(r"(?:^|\n|(?<![A-Z])(?<!Dr)(?<!Mr)(?<!Ms)(?<!Mrs)(?<!Prof)(?<!Eng)[.!?]\s)\s*([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)(?=\s+(?!(?:van|von|de[rn]?|del|da|di|zu|ter)\s)[a-zß-öø-ÿ])")
 
 
 def _lower_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, n, lower): in how many texts a word is written in lower case or opens a sentence, and the first alone; "" counts the texts."""
     counts: Counter[str] = Counter()
+    lower: Counter[str] = Counter()
+
+    def rows() -> pa.RecordBatch:
+        cols = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([lower[w] for w in counts], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["word", "n", "lower"])
+
     for batch in batches:
         for text in batch.column(0).to_pylist():
+            counts[""] += 1
             if text:
                 bare = EMAIL.sub(" ", text)
-                counts.update({*LOWER_WORD.findall(bare), *map(str.lower, OPENING_WORD.findall(bare))})
+                small = set(LOWER_WORD.findall(bare))
+                lower.update(small)
+                counts.update(small.union(map(str.lower, OPENING_WORD.findall(bare))))
         if len(counts) > 500_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            yield rows()
+            counts.clear(), lower.clear()
+    yield rows()
+
+
+def ordinary_words(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """Words that the corpus writes in lower case, or opens sentences with, in more than a share of its
+    distinct texts; and those of them that reach the share by opening sentences only."""
+    counts = texts.distinct().mapInArrow(_lower_words, "word string, n long, lower long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower")).persist()
+    try:
+        total = counts.filter("word = ''").first()
+        least = max(3, int(DOCUMENT_SHARE * (total["n"] if total else 0)))
+        rows = counts.filter((F.col("n") >= least) & (F.col("word") != "")).collect()
+    finally:
+        counts.unpersist()
+    return frozenset(r["word"] for r in rows), frozenset(r["word"] for r in rows if r["lower"] < least)
 
 
-def lower_case_words(texts: DataFrame) -> frozenset[str]:
-    """Words that the corpus writes in lower case, or opens sentences with, in more than a share of its documents."""
-    counts = texts.mapInArrow(_lower_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    least = max(3, int(DOCUMENT_SHARE * texts.count()))
-    return frozenset(r["word"] for r in counts.filter(F.col("n") >= least).collect())
+def corpus_detector(documents: DataFrame) -> Detector:
+    known, openers = ordinary_words(documents.select("text"))
+    return Detector(*trained(), known | BASE_WORDS, openers - BASE_WORDS)
 
 
 def found_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, kind, start_pos, end_pos) of every span."""
-    detector = Detector(*trained(), lower_case_words(documents.select("text")) | BASE_WORDS)
+    detector = corpus_detector(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,7 +420,7 @@ def found_spans(documents: DataFrame) -> DataFrame:
 
 def redacted(documents: DataFrame) -> DataFrame:
     """(doc_id, text) with ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` and ``[PERSON]`` in place of the spans."""
-    detector = Detector(*trained(), lower_case_words(documents.select("text")) | BASE_WORDS)
+    detector = corpus_detector(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -58,3 +58,23 @@ def test_hostile_tables(tables):
     plain = found(d)
     assert plain and found(hostile.clashing(d)) == plain and found(hostile.empty(d)) == set() and found(hostile.with_nulls(d))
     assert P.redacted(hostile.with_nulls(d)).count() == hostile.with_nulls(d).count()
+
+
+def persons(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, texts[r.doc_id][r.start_pos:r.end_pos]) for r in P.found_spans(df).collect() if r.kind == "person"}
+
+
+def test_a_given_name_of_a_repeated_text_stays_a_name(spark):
+    assert (0, "Fenmora Holtmire") in persons(spark, ["The file was checked by Fenmora Holtmire; nobody objected.", *["Fenmora agreed to the record."] * 20])
+
+
+def test_a_given_name_that_opens_sentences_stays_a_name(spark):
+    found = persons(spark, ["The file was checked by Fenmora Holtmire; nobody objected.", *[f"Fenmora van Falley signed page {w}." for w in ("one", "two", "three", "four")], *[f"Ostano agreed to page {w}." for w in ("one", "two", "three", "four")], "The file was checked by Ostano Holtmire; nobody objected."])
+    assert {(0, "Fenmora Holtmire"), (1, "Fenmora van Falley"), (9, "Ostano Holtmire")} <= found
+
+
+def test_an_opener_after_a_name_is_no_part_of_it(detector):
+    d = P.Detector(detector.trees, detector.thresholds, detector.known | {"kindly"}, frozenset({"kindly"}))
+    text = "The file was checked. Ruabelle Holtstrand Kindly return the copy."
+    assert {text[s.start:s.end] for s in d.detect([text])[0]} <= {"Ruabelle Holtstrand"}
