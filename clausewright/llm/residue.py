@@ -2,9 +2,10 @@
 
 Three character models (order ``ORDER``, interpolated down to single characters) are fitted:
 filler and placeholders, error and script notices, and natural prose. The first two learn from
-the seed phrases below, the third from about ``PROSE_ROWS`` rows of the corpus itself (twice that
-at most), taken by hash of their key; rows that already look like residue under a first fit are left out of the
-second. Every text is then scanned whole: the log-likelihood ratio of each character is looked up
+the seed phrases below, the third from all rows of the corpus: tasks add up hashed n-gram counts in
+tables of fixed size, which are summed by range of hashes before the driver reads them. Rows that
+already look like residue under one fit are taken off the counts for the next.
+Every text is then scanned whole: the log-likelihood ratio of each character is looked up
 in hashed tables, summed over sliding windows, and stretches above the threshold are residue.
 An exact check of the located stretch follows (is it a placeholder, a seed-like sentence, or only
 a blank form line?). Rows whose residue coverage exceeds a limit can be excluded whole.
@@ -15,6 +16,7 @@ repeated rows are judged alike; an empty table gives an empty result; extra colu
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,12 +30,12 @@ from pyspark.sql import types as T
 ORDER = 5
 BITS = 20
 WINDOWS = (10, 28, 60)
-PROSE_ROWS = 8_000
 CLIP = 7.0
 FIRST_CUT = (40.0, 45.0, 50.0)
 CANDIDATE = (3.0, 6.0, 9.0)
 LEAST = (16.0, 16.0, 18.0)
 PAD = max(WINDOWS)
+SHARDS = 64
 
 # Seed phrases of filler and unfinished templates.
 FILLER = (
@@ -109,11 +111,24 @@ def seed_sentences() -> re.Pattern:
     return re.compile("|".join(literal), re.I)
 
 
+SEEDED = seed_sentences()
+#: the longest part without a number of each seed sentence, in lower case: a text without any holds no seed sentence
+SEED_PARTS = tuple(sorted({max(re.split(r"\d+", p.rstrip(".!").lower()), key=len) for t in (*FILLER, *NOTICES) for p in (t, *re.split(r"(?<=[.!?:])\s+", t)) if len(p.strip().split()) >= 3}))
+SEED_PARTS = tuple(p for p in SEED_PARTS if not any(q != p and q in p for q in SEED_PARTS))
+
+
+def is_seeded(text: str) -> bool:
+    """Whether the text holds a placeholder by its syntax or a seed sentence."""
+    low = text.lower()
+    if ("to be " in low or any(c in text for c in "{$<@%#_[")) and PLACEHOLDER.search(text):
+        return True
+    return any(p in low for p in SEED_PARTS) and SEEDED.search(text) is not None
+
+
 class Positions:
     """The n-gram hashes of a text collection; the context of position i is the (n-1)-gram that ends at i-1."""
 
-    def __init__(self, texts: list[str]):
-        codes, _ = codes_of(texts)
+    def __init__(self, codes: np.ndarray):
         self.grams = [grams(codes, n).astype(np.int32) for n in range(1, ORDER + 1)]
         self.inside = np.flatnonzero(codes > 0)
 
@@ -124,13 +139,106 @@ class Positions:
         return last[last >= 0]
 
 
+class Tally:
+    """Counts of the n-grams by hash, and of the contexts before a character; of each hash of 5-grams and 3-grams
+    the smallest gram itself (its first two and last three characters)."""
+
+    def __init__(self, size: int = 1 << BITS):
+        self.counts = [np.zeros(size, np.int64) for _ in range(2 * ORDER - 1)]
+        self.grams = {n: (np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).max)) for n in (ORDER, 3)}
+
+    def add(self, codes: np.ndarray) -> None:
+        at = Positions(codes)
+        hashes = [g[at.inside] for g in at.grams] + [g[at.inside - 1] for g in at.grams[:-1]]
+        for total, h in zip(self.counts, hashes):
+            total += np.bincount(h, minlength=len(total))
+        back = [codes[at.inside - k].astype(np.int64) for k in range(ORDER)]
+        low = (back[2] << 42) | (back[1] << 21) | back[0]
+        self.smallest(3, at.grams[2][at.inside], np.zeros(len(low), np.int64), low)
+        self.smallest(ORDER, at.grams[ORDER - 1][at.inside], (back[4] << 21) | back[3], low)
+
+    def smallest(self, order: int, at: np.ndarray, high: np.ndarray, low: np.ndarray) -> None:
+        highs, lows = self.grams[order]
+        better = (high < highs[at]) | (high == highs[at]) & (low < lows[at])
+        at, high, low = at[better], high[better], low[better]
+        by = np.lexsort((low, high, at))
+        at, high, low = at[by], high[by], low[by]
+        one = np.concatenate(([True], at[1:] != at[:-1])) if len(at) else np.zeros(0, bool)
+        highs[at[one]], lows[at[one]] = high[one], low[one]
+
+    def parts(self) -> Iterator[tuple[int, bytes]]:
+        """(shard, counts and grams of its range of hashes)."""
+        width = (1 << BITS) // SHARDS
+        for shard in range(SHARDS):
+            own = slice(shard * width, (shard + 1) * width)
+            counts = [(np.flatnonzero(c[own]).astype(np.int32), c[own][c[own] != 0]) for c in self.counts]
+            if any(len(i) for i, _ in counts):
+                grams_ = {n: (h[own][counts[n - 1][0]], low[own][counts[n - 1][0]]) for n, (h, low) in self.grams.items()}
+                yield shard, pickle.dumps((counts, grams_))
+
+    def merge(self, blob: bytes, first: int = 0) -> None:
+        counts, grams_ = pickle.loads(blob)
+        for total, (i, n) in zip(self.counts, counts):
+            total[i + first] += n
+        for n, (high, low) in grams_.items():
+            self.smallest(n, counts[n - 1][0] + first, high, low)
+
+    def codes(self, order: int) -> np.ndarray:
+        """ORDER zeros, then the characters of one gram per counted hash, one gram after the other."""
+        held = self.counts[order - 1] > 0
+        high, low = (x[held] for x in self.grams[order])
+        mask = (1 << 21) - 1
+        chars = np.column_stack([(high >> 21) & mask, high & mask, low >> 42, (low >> 21) & mask, low & mask][ORDER - order:])
+        return np.concatenate((np.zeros(ORDER, np.uint64), chars.ravel().astype(np.uint64)))
+
+
+def tallied(texts: DataFrame, model: ResidueModel | None = None, cut: tuple[float, ...] = LEAST) -> Tally:
+    """Counts over all rows of ``texts`` (one string column) without a placeholder or seed sentence; with a ``model``, over those of them above ``cut``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            rows = [t for t in batch.column(0).to_pylist() if t]
+            if model is not None:
+                rows = [t for t, s in zip(rows, model.scores(rows)) if (s >= np.array(cut)).any()]
+            rows = [t for t in rows if not is_seeded(t)]
+            if rows:
+                tally.add(codes_of(rows)[0])
+        yield blobs(list(tally.parts()))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[int, Tally] = {}
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if shard not in shards:
+                    shards[shard] = Tally((1 << BITS) // SHARDS)
+                shards[shard].merge(blob)
+        out = []
+        for shard, t in shards.items():
+            counts = [(np.flatnonzero(c).astype(np.int32), c[c != 0]) for c in t.counts]
+            out.append((shard, pickle.dumps((counts, {n: (h[counts[n - 1][0]], low[counts[n - 1][0]]) for n, (h, low) in t.grams.items()}))))
+        yield blobs(out)
+
+    def blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
+
+    schema = "shard int, blob binary"
+    total = Tally()
+    for r in texts.mapInArrow(count, schema).repartition("shard").mapInArrow(merge, schema).collect():
+        total.merge(bytes(r["blob"]), r["shard"] * ((1 << BITS) // SHARDS))
+    return total
+
+
 class CharModel:
     """Hashed counts of an interpolated character model."""
 
-    def __init__(self, at: Positions):
-        self.size = max(1, len(at.inside))
-        self.counts = [np.bincount(g[at.inside], minlength=1 << BITS).astype(np.float32) for g in at.grams]
-        self.contexts = [np.bincount(g[at.inside - 1], minlength=1 << BITS).astype(np.float32) for g in at.grams[:-1]]
+    def __init__(self, counts: list[np.ndarray]):
+        self.counts, self.contexts = counts[:ORDER], counts[ORDER:]
+        self.size = max(1, int(counts[0].sum()))
+
+    @classmethod
+    def of(cls, at: Positions) -> CharModel:
+        return cls([np.bincount(g[at.inside], minlength=1 << BITS) for g in at.grams] + [np.bincount(g[at.inside - 1], minlength=1 << BITS) for g in at.grams[:-1]])
 
     def prob(self, at: Positions, where: np.ndarray, order: int) -> np.ndarray:
         """P(character | the order-1 characters before it) at the positions ``where``."""
@@ -202,38 +310,41 @@ def placeholder_samples() -> list[str]:
     return [f"{a}{n}{b}" for a, b in DELIMITERS[:13] for n in NAMES]
 
 
-def fit_models(prose: list[str], rounds: int = 4) -> ResidueModel:
-    """``prose``: natural rows, which may hold some residue; rows with a placeholder by its
+def fit_models(texts: DataFrame, rounds: int = 4) -> ResidueModel:
+    """``texts``: natural rows (one string column), which may hold some residue; rows with a placeholder by its
     syntax or with a seed sentence are left out at once, rows above FIRST_CUT, then LEAST, from the next round.
 
     In the first round prose is modelled by character pairs only: a higher order would have
     learnt the residue among it by heart.
     """
-    own = [Positions([f" {t} " for t in (*FILLER, *FILLER, *shuffled_latin(), *placeholder_samples())]), Positions([f" {t} " for t in NOTICES] * 2)]
-    classes = [CharModel(p) for p in own]
-    seeded = seed_sentences()
-    prose = [t for t in prose if not PLACEHOLDER.search(t) and not seeded.search(t)]
+    own = [Positions(codes_of([f" {t} " for t in ts])[0]) for ts in ((*FILLER, *FILLER, *shuffled_latin(), *placeholder_samples()), NOTICES * 2)]
+    classes = [CharModel.of(p) for p in own]
+    every = tallied(texts)
+    prose = every
     model = None
     for turn in range(rounds):
-        seen = Positions(prose)
-        natural = CharModel(seen)
+        if turn:
+            odd = tallied(texts, model, LEAST if turn > 1 else FIRST_CUT)
+            prose = Tally(0)
+            prose.counts, prose.grams = [a - b for a, b in zip(every.counts, odd.counts)], every.grams
+        natural = CharModel(prose.counts)
+        samples = {}
+        for order in (ORDER, 3):
+            codes = prose.codes(order)
+            samples[order] = [(Positions(codes), np.arange(ORDER + order - 1, len(codes), order)), *((p, p.distinct(order)) for p in own)]
         model = ResidueModel([], [])
         for c in classes:
             tables = []
             for order in (ORDER, 3):
                 ratio = np.full(1 << BITS, np.nan, np.float32)
-                for at in (seen, *own):
-                    where = at.distinct(order)
+                for at, where in samples[order]:
                     ratio[at.grams[order - 1][where]] = np.clip(np.log(c.prob(at, where, order) / natural.prob(at, where, order if turn else 2)), -CLIP, CLIP)
                 tables.append(ratio)
             model.full.append(tables[0])
             model.short.append(tables[1])
-        prose = [t for t, s in zip(prose, model.scores(prose)) if (s < np.array(LEAST if turn else FIRST_CUT)).all()]
     return model
 
 
-
-
 def located(text: str, start: int, totals: list[np.ndarray]) -> list[tuple[int, int]]:
     """Residue stretches that pass the exact check: a placeholder's syntax in or next to a candidate window,
     or a window above LEAST whose letters are words rather than a blank form line, a page mark or a rule."""
@@ -258,13 +369,9 @@ def located(text: str, start: int, totals: list[np.ndarray]) -> list[tuple[int,
     return merged
 
 
-def residue_rows(rows: DataFrame, key: str, columns: list[str], prose_rows: int = PROSE_ROWS) -> DataFrame:
+def residue_rows(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, residue, coverage): whether any of ``columns`` holds residue, and the share of characters it covers."""
-    # a share of the keys by hash, so that no task sends more than its part of the sample
-    share = min(1.0, prose_rows / max(1, rows.count()))
-    u = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 11) / F.lit(float(2**53))
-    sample = rows.select(key, F.concat_ws("\n", *columns).alias("t")).filter(u < share).select("t").limit(2 * prose_rows)
-    model = fit_models([r["t"] for r in sample.collect() if r["t"]])
+    model = fit_models(rows.select(F.concat_ws("\n", *columns).alias("t")))
     schema = T.StructType([rows.schema[key], T.StructField("residue", T.BooleanType()), T.StructField("coverage", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

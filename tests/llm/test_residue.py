@@ -44,3 +44,13 @@ def test_hostile_tables(tables):
     assert plain and found(hostile.clashing(c)) == plain and found(hostile.empty(c)) == set()
     assert plain - found(hostile.with_nulls(c)) == set() and found(hostile.repeated(c)) >= plain
     assert R.without_residue(hostile.with_nulls(c)).count() > 0
+
+
+def test_prose_is_counted_over_all_rows(spark):
+    """Also beyond the 16,000 rows that a bounded sample held; the order and split of the rows change nothing."""
+    texts = [f"Row {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)} {NATURAL[i % len(NATURAL)]}" for i in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, *filter(R.is_seeded, BAD), None, ""]], "t string").repartition(5)
+    got, want = R.tallied(df), R.Tally()
+    want.add(R.codes_of(texts)[0])
+    assert all((a == b).all() for a, b in zip(got.counts, want.counts)) and all((got.codes(n) == want.codes(n)).all() for n in (3, 5))
+    assert not any(R.is_seeded(t) for t in texts) and all(R.is_seeded(t) == bool(R.PLACEHOLDER.search(t) or R.SEEDED.search(t)) for t in [*BAD, *R.FILLER, *R.NOTICES, *R.placeholder_samples()])
