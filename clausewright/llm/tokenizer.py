@@ -1,8 +1,8 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer by corpus-level merge replay.
 
-The distinct pretokens of the whole corpus are found first; each is encoded once. A task holds a
-hash-partition of them, builds an inverted index from token pair to positions in its words, and
-replays the merge table in rank order, touching only the positions of the pair at hand and their
+The distinct pretokens of the whole corpus are found first; each is encoded once. A task takes
+a hash-partition of them by Arrow batches, builds for each batch (not for the partition or corpus)
+an inverted index from token pair to positions in its words, and replays the merge table in rank order, touching only the positions of the pair at hand and their
 neighbours (a merge can only create pairs of later rank, so one sweep is enough). The encoded
 pretokens then go back to the documents: both sides are grouped by a hash block of documents, so
 what is shuffled is each document once and each pretoken once per block, not once per occurrence.
