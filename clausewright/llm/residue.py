@@ -16,8 +16,10 @@ repeated rows are judged alike; an empty table gives an empty result; extra colu
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +33,18 @@ ORDER = 5
 BITS = 20
 WINDOWS = (10, 28, 60)
 CLIP = 7.0
+UNSEEN = -0.5
+SCALE = 1024
+NEVER = -32768
 FIRST_CUT = (40.0, 45.0, 50.0)
 CANDIDATE = (3.0, 6.0, 9.0)
 LEAST = (16.0, 16.0, 18.0)
 PAD = max(WINDOWS)
 SHARDS = 64
+BLOCK = 1 << 15
+COPY_SHARE = 1e-3
+LEAST_COPIES = 50
+NONE = np.uint64((1 << 64) - 1)
 
 # Seed phrases of filler and unfinished templates.
 FILLER = (
@@ -81,26 +90,53 @@ PLACEHOLDER = re.compile(
 BLANK_FORM = re.compile(r"^[\s._…\-–()\d:]*$")
 
 
+def _folded() -> np.ndarray:
+    """Code point to a code of twelve bits: digits as "0", blanks as " ", those beyond 4,095 folded; 0 stays 0."""
+    at = np.arange(0x110000)
+    out = np.where(at < 4096, at, 0x800 | (at & 0x7FF))
+    out[48:58] = 48
+    out[[9, 10, 160]] = 32
+    return out.astype(np.uint16)
+
+
+CODE = _folded()
+
+
 def codes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of all texts, digits as "0", zeros of length PAD around each; start of each text."""
+    """Codes of the lower-case characters of all texts, zeros of length PAD around each; start of each text."""
+    lows = [t.replace("\x00", " ").lower() if t else "" for t in texts]
     gap = "\x00" * PAD
-    flat = gap + gap.join((t or "").replace("\x00", " ").lower() if t else "" for t in texts) + gap
-    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    codes[(codes >= 48) & (codes <= 57)] = 48
-    codes[(codes == 10) | (codes == 160) | (codes == 9)] = 32
-    sizes = np.array([len((t or "").replace("\x00", " ").lower()) if t else 0 for t in texts], dtype=np.int64)
+    flat = gap + gap.join(lows) + gap
+    codes = CODE[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    sizes = np.fromiter(map(len, lows), np.int64, len(lows))
     starts = PAD + np.concatenate(([0], np.cumsum(sizes + PAD)[:-1])) if len(texts) else np.zeros(0, np.int64)
     return codes, starts.astype(np.int64)
 
 
-def grams(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n characters that end at each position."""
-    h = np.zeros(len(codes), dtype=np.uint64)
-    for k in range(n - 1, -1, -1):
-        shifted = np.concatenate((np.zeros(k, np.uint64), codes[: len(codes) - k])) if k else codes
-        h = (h * np.uint64(0x9E3779B1) + shifted + np.uint64(1)) & np.uint64(0xFFFFFFFFFFFF)
-    h ^= h >> np.uint64(23)
-    return ((h * np.uint64(0x2545F491)) >> np.uint64(9)) & np.uint64((1 << BITS) - 1)
+def keys_of(codes: np.ndarray) -> np.ndarray:
+    """The ORDER codes that end at each position in one number, the last one lowest."""
+    keys = codes.astype(np.uint64)
+    wide = keys.copy()
+    for k in range(1, ORDER):
+        keys[k:] |= wide[:-k] << np.uint64(12 * k)
+    return keys
+
+
+def cells(keys: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the last n codes of each key."""
+    return ((keys & np.uint64((1 << 12 * n) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).view(np.int64)
+
+
+def blocks_of(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts of about BLOCK characters, so that the arrays of a run stay in a core's cache."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        held += PAD + (len(t) if t else 0)
+        if held >= BLOCK:
+            yield slice(first, i + 1)
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 def seed_sentences() -> re.Pattern:
@@ -117,79 +153,123 @@ SEED_PARTS = tuple(sorted({max(re.split(r"\d+", p.rstrip(".!").lower()), key=len
 SEED_PARTS = tuple(p for p in SEED_PARTS if not any(q != p and q in p for q in SEED_PARTS))
 
 
-def is_seeded(text: str) -> bool:
-    """Whether the text holds a placeholder by its syntax or a seed sentence."""
-    low = text.lower()
-    if ("to be " in low or any(c in text for c in "{$<@%#_[")) and PLACEHOLDER.search(text):
-        return True
-    return any(p in low for p in SEED_PARTS) and SEEDED.search(text) is not None
+def spans_of(keys: np.ndarray) -> np.ndarray:
+    """Hash of the 2 * ORDER codes that end at each position."""
+    wide = keys.copy()
+    wide[ORDER:] += keys[:-ORDER] * np.uint64(0xD6E8FEB86659FD93)
+    return (wide * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).view(np.int64)
+
+
+def _seed_spans() -> np.ndarray:
+    """Per hash of 2 * ORDER codes: whether the stretch of a seed part with the rarest characters falls there."""
+    often = Counter("".join(SEED_PARTS))
+    out = np.zeros(1 << BITS, bool)
+    for p in SEED_PARTS:
+        k = min(range(len(p) - 2 * ORDER + 1), key=lambda i: sum(math.log(often[c]) for c in p[i:i + 2 * ORDER]))
+        codes, starts = codes_of([p[k:k + 2 * ORDER]])
+        out[spans_of(keys_of(codes))[starts + 2 * ORDER - 1]] = True
+    return out
+
+
+SEED_SPANS = _seed_spans()
 
 
-class Positions:
-    """The n-gram hashes of a text collection; the context of position i is the (n-1)-gram that ends at i-1."""
+def has_placeholder(text: str) -> bool:
+    return (any(c in text for c in "{$<@%#_[") or "to be " in text.lower()) and PLACEHOLDER.search(text) is not None
 
-    def __init__(self, codes: np.ndarray):
-        self.grams = [grams(codes, n).astype(np.int32) for n in range(1, ORDER + 1)]
-        self.inside = np.flatnonzero(codes > 0)
 
-    def distinct(self, order: int) -> np.ndarray:
-        """One position per distinct gram of the given order."""
-        last = np.full(1 << BITS, -1, np.int64)
-        last[self.grams[order - 1][self.inside]] = self.inside
-        return last[last >= 0]
+def has_seed(text: str) -> bool:
+    low = text.lower()
+    return any(p in low for p in SEED_PARTS) and SEEDED.search(text) is not None
+
+
+def is_seeded(text: str) -> bool:
+    """Whether the text holds a placeholder by its syntax or a seed sentence."""
+    return has_placeholder(text) or has_seed(text)
 
 
 class Tally:
-    """Counts of the n-grams by hash, and of the contexts before a character; of each hash of 5-grams and 3-grams
-    the smallest gram itself (its first two and last three characters)."""
-
-    def __init__(self, size: int = 1 << BITS):
-        self.counts = [np.zeros(size, np.int64) for _ in range(2 * ORDER - 1)]
-        self.grams = {n: (np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).max)) for n in (ORDER, 3)}
-
-    def add(self, codes: np.ndarray) -> None:
-        at = Positions(codes)
-        hashes = [g[at.inside] for g in at.grams] + [g[at.inside - 1] for g in at.grams[:-1]]
-        for total, h in zip(self.counts, hashes):
-            total += np.bincount(h, minlength=len(total))
-        back = [codes[at.inside - k].astype(np.int64) for k in range(ORDER)]
-        low = (back[2] << 42) | (back[1] << 21) | back[0]
-        self.smallest(3, at.grams[2][at.inside], np.zeros(len(low), np.int64), low)
-        self.smallest(ORDER, at.grams[ORDER - 1][at.inside], (back[4] << 21) | back[3], low)
-
-    def smallest(self, order: int, at: np.ndarray, high: np.ndarray, low: np.ndarray) -> None:
-        highs, lows = self.grams[order]
-        better = (high < highs[at]) | (high == highs[at]) & (low < lows[at])
-        at, high, low = at[better], high[better], low[better]
-        by = np.lexsort((low, high, at))
-        at, high, low = at[by], high[by], low[by]
-        one = np.concatenate(([True], at[1:] != at[:-1])) if len(at) else np.zeros(0, bool)
-        highs[at[one]], lows[at[one]] = high[one], low[one]
+    """Counts of the n-grams by hash; of the (1 to ORDER-1)-grams how many end a text and so have no character after
+    them; and of each hash of 5-grams and 3-grams the smallest gram itself."""
+
+    def __init__(self, size: int = 1 << BITS, kind: type = np.int64):
+        self.counts = [np.zeros(size, kind) for _ in range(2 * ORDER - 1)]
+        self.grams = {n: np.full(size, NONE) for n in (ORDER, 3)}
+
+    def add(self, texts: list[str], seeded: bool = False) -> None:
+        """Counts ``texts``, but those with a placeholder or seed sentence only if ``seeded``."""
+        held: list[list[np.ndarray]] = []
+        for part in blocks_of(texts):
+            block = texts[part]
+            codes, starts = codes_of(block)
+            keys = keys_of(codes)
+            top = cells(keys, ORDER)
+            inside = codes > 0
+            ends = np.append(starts[1:], len(codes)) - PAD - 1
+            filled = ends >= starts
+            if not seeded:
+                # a text with a seed sentence holds its part's stretch; such texts are looked at one by one
+                maybe = np.logical_or.reduceat(SEED_SPANS[spans_of(keys)], starts - PAD)
+                for i in range(len(block)):
+                    if has_placeholder(block[i]) or maybe[i] and has_seed(block[i]):
+                        inside[starts[i]:ends[i] + 1] = False
+                        filled[i] = False
+            keys, top, last = keys[inside], top[inside], keys[ends[filled]]
+            held.append([*[cells(keys, n) for n in range(1, ORDER)], top, *[cells(last, n) for n in range(1, ORDER)]])
+            self.smallest(3, held[-1][2], keys & np.uint64((1 << 36) - 1))
+            self.smallest(ORDER, top, keys)
+        for k, total in enumerate(self.counts):
+            if held:
+                np.add(total, np.bincount(np.concatenate([h[k] for h in held]), minlength=len(total)), out=total, casting="unsafe")
+
+    def smallest(self, order: int, at: np.ndarray, keys: np.ndarray) -> None:
+        known = self.grams[order]
+        better = keys < known[at]
+        if better.any():
+            np.minimum.at(known, at[better], keys[better])
+
+    def contexts(self) -> list[np.ndarray]:
+        """Per length from 1 to ORDER-1 how often the gram comes before a character; cell 0 also stands for a text's start."""
+        out = [a - b for a, b in zip(self.counts, self.counts[ORDER:])]
+        for c in out:
+            c[0] += self.counts[ORDER].sum()
+        return out
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
         """(shard, counts and grams of its range of hashes)."""
         width = (1 << BITS) // SHARDS
         for shard in range(SHARDS):
             own = slice(shard * width, (shard + 1) * width)
-            counts = [(np.flatnonzero(c[own]).astype(np.int32), c[own][c[own] != 0]) for c in self.counts]
-            if any(len(i) for i, _ in counts):
-                grams_ = {n: (h[own][counts[n - 1][0]], low[own][counts[n - 1][0]]) for n, (h, low) in self.grams.items()}
-                yield shard, pickle.dumps((counts, grams_))
+            if any(c[own].any() for c in self.counts):
+                yield shard, self.packed(own)
+
+    def packed(self, own: slice = slice(None)) -> bytes:
+        counts = [(np.flatnonzero(c[own]).astype(np.int32), c[own][c[own] != 0]) for c in self.counts]
+        return pickle.dumps((counts, {n: g[own][counts[n - 1][0]] for n, g in self.grams.items()}))
 
     def merge(self, blob: bytes, first: int = 0) -> None:
         counts, grams_ = pickle.loads(blob)
         for total, (i, n) in zip(self.counts, counts):
             total[i + first] += n
-        for n, (high, low) in grams_.items():
-            self.smallest(n, counts[n - 1][0] + first, high, low)
+        for n, keys in grams_.items():
+            self.smallest(n, counts[n - 1][0] + first, keys)
 
-    def codes(self, order: int) -> np.ndarray:
-        """ORDER zeros, then the characters of one gram per counted hash, one gram after the other."""
-        held = self.counts[order - 1] > 0
-        high, low = (x[held] for x in self.grams[order])
-        mask = (1 << 21) - 1
-        chars = np.column_stack([(high >> 21) & mask, high & mask, low >> 42, (low >> 21) & mask, low & mask][ORDER - order:])
-        return np.concatenate((np.zeros(ORDER, np.uint64), chars.ravel().astype(np.uint64)))
+    def keys(self, order: int) -> np.ndarray:
+        """One gram per counted hash."""
+        return self.grams[order][self.counts[order - 1] > 0]
+
+
+def once_each(texts: DataFrame) -> DataFrame:
+    """``texts`` (one string column) with those texts once only that are more than COPY_SHARE of the rows.
+
+    There are fewer than 1 / COPY_SHARE of these, so the driver may read their hashes; only they are shuffled.
+    """
+    hashed = texts.select(F.col(texts.columns[0]).alias("t")).filter("t <> ''").withColumn("h", F.xxhash64("t"))
+    least = COPY_SHARE * hashed.count()
+    hot = [r["h"] for r in hashed.groupBy("h").count().filter(F.col("count") > max(LEAST_COPIES, least)).collect()]
+    if not hot:
+        return hashed.select("t")
+    return hashed.filter(~F.col("h").isin(hot)).select("t").unionByName(hashed.filter(F.col("h").isin(hot)).select("t").distinct())
 
 
 def tallied(texts: DataFrame, model: ResidueModel | None = None, cut: tuple[float, ...] = LEAST) -> Tally:
@@ -201,9 +281,7 @@ def tallied(texts: DataFrame, model: ResidueModel | None = None, cut: tuple[floa
             rows = [t for t in batch.column(0).to_pylist() if t]
             if model is not None:
                 rows = [t for t, s in zip(rows, model.scores(rows)) if (s >= np.array(cut)).any()]
-            rows = [t for t in rows if not is_seeded(t)]
-            if rows:
-                tally.add(codes_of(rows)[0])
+            tally.add(rows)
         yield blobs(list(tally.parts()))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +291,7 @@ def tallied(texts: DataFrame, model: ResidueModel | None = None, cut: tuple[floa
                 if shard not in shards:
                     shards[shard] = Tally((1 << BITS) // SHARDS)
                 shards[shard].merge(blob)
-        out = []
-        for shard, t in shards.items():
-            counts = [(np.flatnonzero(c).astype(np.int32), c[c != 0]) for c in t.counts]
-            out.append((shard, pickle.dumps((counts, {n: (h[counts[n - 1][0]], low[counts[n - 1][0]]) for n, (h, low) in t.grams.items()}))))
-        yield blobs(out)
+        yield blobs([(shard, t.packed()) for shard, t in shards.items()])
 
     def blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
@@ -232,54 +306,57 @@ def tallied(texts: DataFrame, model: ResidueModel | None = None, cut: tuple[floa
 class CharModel:
     """Hashed counts of an interpolated character model."""
 
-    def __init__(self, counts: list[np.ndarray]):
-        self.counts, self.contexts = counts[:ORDER], counts[ORDER:]
-        self.size = max(1, int(counts[0].sum()))
+    def __init__(self, tally: Tally):
+        self.counts, self.contexts = tally.counts[:ORDER], tally.contexts()
+        self.size = max(1, int(self.counts[0].sum()))
 
-    @classmethod
-    def of(cls, at: Positions) -> CharModel:
-        return cls([np.bincount(g[at.inside], minlength=1 << BITS) for g in at.grams] + [np.bincount(g[at.inside - 1], minlength=1 << BITS) for g in at.grams[:-1]])
-
-    def prob(self, at: Positions, where: np.ndarray, order: int) -> np.ndarray:
-        """P(character | the order-1 characters before it) at the positions ``where``."""
-        p = np.full(len(where), 1 / 120, np.float64)
+    def prob(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """P(last code | the order-1 codes before it) of each key."""
+        p = np.full(len(keys), 1 / 120, np.float64)
         for n in range(1, order + 1):
-            context = self.contexts[n - 2][at.grams[n - 2][where - 1]] if n > 1 else np.float64(self.size)
+            context = self.contexts[n - 2][cells(keys >> np.uint64(12), n - 1)] if n > 1 else np.float64(self.size)
             weight = 1.0 if n > 1 else 60.0
-            p = (self.counts[n - 1][at.grams[n - 1][where]] + weight * p) / (context + weight)
+            p = (self.counts[n - 1][cells(keys, n)] + weight * p) / (context + weight)
         return p
 
 
 @dataclass
 class ResidueModel:
-    """Log-likelihood ratio tables per residue class, by hashed 5-gram and 3-gram; NaN where never seen."""
-
-    full: list[np.ndarray]
-    short: list[np.ndarray]
-
-    def ratios(self, codes: np.ndarray) -> list[np.ndarray]:
-        at, short_at = grams(codes, ORDER).astype(np.int64), grams(codes, 3).astype(np.int64)
-        out = []
-        for full, short in zip(self.full, self.short):
-            r = full[at]
-            miss = np.isnan(r)
-            r[miss] = np.nan_to_num(short[short_at[miss]], nan=-0.5)
-            r[codes == 0] = 0
-            out.append(r)
-        return out
+    """Log-likelihood ratios of both residue classes (two columns), in steps of 1 / SCALE, by hashed 5-gram (NEVER where not seen) and 3-gram.
+
+    Sums of whole numbers don't depend on how texts are cut into blocks.
+    """
 
-    def scan(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Per text and window width the highest window sum over both classes; starts and running sums to locate it."""
-        codes, starts = codes_of(texts)
-        best = np.zeros((len(texts), len(WINDOWS)))
-        totals = [np.concatenate(([0.0], np.cumsum(r, dtype=np.float64))) for r in self.ratios(codes)] if len(texts) else []
-        for total in totals:
+    full: np.ndarray
+    short: np.ndarray
+
+    def ratios(self, codes: np.ndarray) -> np.ndarray:
+        keys = keys_of(codes)
+        # one look-up of four bytes serves both classes
+        both = self.full.view(np.int32).ravel().take(cells(keys, ORDER))
+        pairs = both.view(np.int16).reshape(-1, 2)
+        miss = np.flatnonzero(pairs[:, 0] == NEVER)
+        both[miss] = self.short.view(np.int32).ravel().take(cells(keys[miss], 3))
+        both[codes == 0] = 0
+        return pairs
+
+    def scan(self, texts: list[str | None]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """By blocks of texts: which, per text and window width the highest window sum over both classes, starts and running sums to locate it."""
+        for part in blocks_of(texts):
+            codes, starts = codes_of(texts[part])
+            pairs = self.ratios(codes)
+            totals = [np.zeros(len(codes) + 1, np.int32) for _ in range(2)]
+            for k, total in enumerate(totals):
+                np.cumsum(pairs[:, k], dtype=np.int32, out=total[1:])  # differences are right even if the sum wraps round
+            best = np.empty((len(starts), len(WINDOWS)))
             for k, w in enumerate(WINDOWS):
-                best[:, k] = np.maximum(best[:, k], np.maximum.reduceat(total[w:] - total[:-w], starts - PAD))
-        return best, starts, totals
+                sums = totals[0][w:] - totals[0][:-w]
+                np.maximum(sums, totals[1][w:] - totals[1][:-w], out=sums)
+                best[:, k] = np.maximum.reduceat(sums, starts - PAD)
+            yield part, best / SCALE, starts, totals
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return self.scan(texts)[0]
+        return np.concatenate([np.zeros((0, len(WINDOWS))), *[best for _, best, _, _ in self.scan(texts)]])
 
 
 def stretches(totals: list[np.ndarray], start: int, size: int, window: int, least: float) -> list[tuple[int, int]]:
@@ -289,7 +366,7 @@ def stretches(totals: list[np.ndarray], start: int, size: int, window: int, leas
     hot = np.zeros(0, np.int64)
     for total in totals:
         part = total[first:start + size + window]
-        hot = np.union1d(hot, np.flatnonzero(part[window:] - part[:-window] >= least))
+        hot = np.union1d(hot, np.flatnonzero(part[window:] - part[:-window] >= least * SCALE))
     for s in (hot - PAD).tolist():
         a, b = max(0, s), min(size, s + window)
         if spans and a <= spans[-1][1]:
@@ -317,31 +394,28 @@ def fit_models(texts: DataFrame, rounds: int = 4) -> ResidueModel:
     In the first round prose is modelled by character pairs only: a higher order would have
     learnt the residue among it by heart.
     """
-    own = [Positions(codes_of([f" {t} " for t in ts])[0]) for ts in ((*FILLER, *FILLER, *shuffled_latin(), *placeholder_samples()), NOTICES * 2)]
-    classes = [CharModel.of(p) for p in own]
+    texts = once_each(texts)
+    classes, own = [], []
+    for seeds in ((*FILLER, *FILLER, *shuffled_latin(), *placeholder_samples()), NOTICES * 2):
+        tally = Tally(kind=np.int32)
+        tally.add([f" {t} " for t in seeds], seeded=True)
+        classes.append(CharModel(tally))
+        own.append({n: tally.keys(n) for n in (ORDER, 3)})
     every = tallied(texts)
-    prose = every
+    counts = every.counts
     model = None
     for turn in range(rounds):
         if turn:
             odd = tallied(texts, model, LEAST if turn > 1 else FIRST_CUT)
-            prose = Tally(0)
-            prose.counts, prose.grams = [a - b for a, b in zip(every.counts, odd.counts)], every.grams
-        natural = CharModel(prose.counts)
-        samples = {}
-        for order in (ORDER, 3):
-            codes = prose.codes(order)
-            samples[order] = [(Positions(codes), np.arange(ORDER + order - 1, len(codes), order)), *((p, p.distinct(order)) for p in own)]
-        model = ResidueModel([], [])
-        for c in classes:
-            tables = []
-            for order in (ORDER, 3):
-                ratio = np.full(1 << BITS, np.nan, np.float32)
-                for at, where in samples[order]:
-                    ratio[at.grams[order - 1][where]] = np.clip(np.log(c.prob(at, where, order) / natural.prob(at, where, order if turn else 2)), -CLIP, CLIP)
-                tables.append(ratio)
-            model.full.append(tables[0])
-            model.short.append(tables[1])
+            every.counts = [a - b for a, b in zip(counts, odd.counts)]
+            del odd
+        natural = CharModel(every)
+        model = ResidueModel(np.full((1 << BITS, 2), NEVER, np.int16), np.full((1 << BITS, 2), round(UNSEEN * SCALE), np.int16))
+        for order, table in ((ORDER, model.full), (3, model.short)):
+            for keys in (every.keys(order), *(k[order] for k in own)):
+                below = natural.prob(keys, order if turn else 2)
+                for k, c in enumerate(classes):
+                    table[cells(keys, order), k] = np.round(SCALE * np.clip(np.log(c.prob(keys, order) / below), -CLIP, CLIP))
     return model
 
 
@@ -380,9 +454,9 @@ def residue_rows(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
             covered, size = np.zeros(n), np.zeros(n)
             for column in batch.columns[1:]:
                 texts = column.to_pylist()
-                scores, starts, totals = model.scan(texts)
-                for i in np.flatnonzero((scores >= np.array(CANDIDATE)).any(axis=1)):
-                    covered[i] += sum(b - a for a, b in located(texts[i], int(starts[i]), totals))
+                for part, scores, starts, totals in model.scan(texts):
+                    for i in np.flatnonzero((scores >= np.array(CANDIDATE)).any(axis=1)):
+                        covered[part.start + i] += sum(b - a for a, b in located(texts[part.start + i], int(starts[i]), totals))
                 size += [len(t) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(covered > 0), pa.array(np.minimum(1.0, covered / np.maximum(size, 1)))], names=[key, "residue", "coverage"])
 

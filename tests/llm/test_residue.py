@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from clausewright.llm import residue as R
 from tests import hostile
@@ -51,6 +52,25 @@ def test_prose_is_counted_over_all_rows(spark):
     texts = [f"Row {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)} {NATURAL[i % len(NATURAL)]}" for i in range(20_000)]
     df = spark.createDataFrame([(t,) for t in [*texts, *filter(R.is_seeded, BAD), None, ""]], "t string").repartition(5)
     got, want = R.tallied(df), R.Tally()
-    want.add(R.codes_of(texts)[0])
-    assert all((a == b).all() for a, b in zip(got.counts, want.counts)) and all((got.codes(n) == want.codes(n)).all() for n in (3, 5))
+    want.add(texts)
+    assert all((a == b).all() for a, b in zip(got.counts, want.counts)) and all((got.keys(n) == want.keys(n)).all() for n in (3, 5))
     assert not any(R.is_seeded(t) for t in texts) and all(R.is_seeded(t) == bool(R.PLACEHOLDER.search(t) or R.SEEDED.search(t)) for t in [*BAD, *R.FILLER, *R.NOTICES, *R.placeholder_samples()])
+
+
+def test_seed_sentences_are_counted_nowhere(rows):
+    """The stretch test in front of the exact one loses no seed sentence, whatever stands around it."""
+    texts = [f"{a}{p.upper()}{b}" for p in R.SEED_PARTS for a, b in (("", ""), ("Voir ", " 12."), (NATURAL[0] + "\n", ""))]
+    tally, none = R.Tally(), R.Tally()
+    tally.add([NATURAL[3], *filter(R.is_seeded, texts), ""])
+    none.add([NATURAL[3]])
+    assert all((a == b).all() for a, b in zip(tally.counts, none.counts))
+
+
+def test_one_copied_text_counts_once(spark, rows):
+    """A residue text delivered so often that it is a third of all rows is found in every copy, and prose still is prose."""
+    df, n = rows
+    copies = spark.range(n // 2).select((F.col("id") + 500_000).alias("clause_key"), F.lit(None).cast("string").alias("title"), F.lit("The page could not be found on our server, please turn scripts on and reload.").alias("text"))
+    once = R.once_each(df.unionByName(copies).select("text"))
+    assert once.filter("t LIKE 'The page could%'").count() == 1
+    found = {r.clause_key for r in R.residue_clauses(df.unionByName(copies)).collect()}
+    assert found == set(range(n, n + len(BAD))) | set(range(500_000, 500_000 + n // 2))
