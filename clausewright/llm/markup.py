@@ -40,11 +40,11 @@ IMPLIED = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "t
 
 TOKEN = re.compile(
     r"(?P<comment><!--(?:[^-]|-(?!->))*-->)|(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>)|(?P<angle><[^<>\n]{1,60}>)|(?P<entity>&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
-    r"|(?P<env>\\(?:begin|end)\{[A-Za-z*]+\}(?:\{[lcr|p ]+\})?)|(?P<display>\\\[[^\[\]]+?\\\]|\$\$[^$]+\$\$)|(?P<math>\$[^$\n]{1,120}\$|\\\([^\n]+?\\\))|(?P<rowend>\\\\(?=\s))|(?P<command>\\[A-Za-z]+\*?(?:\{[^{}\n]*\})?)"
-    r"|(?P<fence>^[ \t]*(?:```|~~~)[^\n`]*$)|(?P<code>`[^`\n]{1,200}`)|(?P<wikitable>^[ \t]*\{\|[^\n]*$|^[ \t]*\|\}[ \t]*$)|(?P<wikirow>^[ \t]*\|-[^\n|]*$|^[ \t]*[!|][ \t][^\n|]*(?:(?:!!|\|\|)[^\n]*)?$)"
+    r"|(?P<env>\\(?:begin|end)\{[A-Za-z*]+\}(?:\{[lcr|p ]+\})?)|(?P<display>\\\[[^\[\]]+?\\\]|\$\$[^$]+\$\$)|(?P<math>\$(?!\{[\w .]+\}(?![ \t]*[_^]))[^$\n]+\$(?!\{[\w .]+\})|\\\([^\n]+?\\\))|(?P<rowend>\\\\(?=\s))|(?P<command>\\[A-Za-z]+\*?(?:\{[^{}\n]*\})?)"
+    r"|(?P<fence>^[ \t]*(?:```|~~~)[^\n`]*$)|(?P<code>`[^`\n]+`)|(?P<wikitable>^[ \t]*\{\|[^\n]*$|^[ \t]*\|\}[ \t]*$)|(?P<wikirow>^[ \t]*\|-[^\n|]*$|^[ \t]*[!|][ \t][^\n|]*(?:(?:!!|\|\|)[^\n]*)?$)"
     r"|(?P<rule>^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$)|(?P<row>^[ \t]*\|[^\n]*\|[ \t]*$)|(?P<wikihead>^[ \t]*(?P<eq>={1,6})[ \t]*[^=\n]+?[ \t]*(?P=eq)[ \t]*$)"
-    r"|(?P<head>^[ \t]{0,3}#{1,6}[ \t]+[^\n]+$)|(?P<bullet>^[ \t]*[*+\-•][ \t]+(?=\S))|(?P<quote>^[ \t]{0,3}>[ \t]+)|(?P<wikilink>\[\[[^\[\]\n]{1,120}\]\])|(?P<link>!?\[[^\[\]\n]{1,120}\]\([^()\s\n]{1,200}\))"
-    r"|(?P<quotes>'{2,5}(?=\S)[^'\n]{1,120}'{2,5})|(?P<strong>\*\*(?=\S)[^*\n]{1,160}\*\*|__(?=\S)[^_\n]{1,160}__)|(?P<emph>(?<![\w*])\*(?=[^\s*])[^*\n]{1,120}(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]{1,120}(?<=[^\s_])_(?![\w_]))|(?P<strike>~~[^~\n]{1,120}~~)"
+    r"|(?P<head>^[ \t]{0,3}#{1,6}[ \t]+[^\n]+$)|(?P<bullet>^[ \t]*[*+\-•][ \t]+(?=\S))|(?P<quote>^[ \t]{0,3}>[ \t]+)|(?P<wikilink>\[\[[^\[\]\n]+\]\])|(?P<link>!?\[[^\[\]\n]+\]\([^()\s\n]+\))"
+    r"|(?P<quotes>'{2,5}(?=\S)[^'\n]+'{2,5})|(?P<strong>\*\*(?=\S)[^*\n]+\*\*|__(?=\S)[^_\n]+__)|(?P<emph>(?<![\w*])\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![\w_]))|(?P<strike>~~[^~\n]+~~)"
     r"|(?P<hash>#\d+)|(?P<bar>\|[^|\n]{1,20}\|)|(?P<star>\*)|(?P<template>\{\{[^{}\n]{1,80}\}\})",
     re.M | re.S,
 )
@@ -55,6 +55,11 @@ MAY_HOLD = r"[<&\\$`#*_=|{\['~•]|(?m)^[ \t]*[+\-][ \t]"
 PLACEHOLDER_LIKE = re.compile(r"(?i)^\W*(?:(?:to be|insert|enter|your|add|type|date to|tbd|tbc|todo|placeholder)\b.*|[A-Z]+(?:_[A-Z]+)+|[a-z]+_[a-z_]+|[a-z]+\.[a-z.]+)\W*$")
 
 
+#: what follows the sign of a page number's line, and words that formulas hardly hold
+PAGE_MARK = re.compile(r"[\d\s.,/]*[-–—]?\s*")
+PLAIN_WORD = re.compile(r"(?<![\\{A-Za-z])[A-Za-z]{3,}(?![}A-Za-z])")
+
+
 class Node:
     __slots__ = ("kind", "name", "start", "end", "parent", "closed", "features", "until")
 
@@ -63,13 +68,28 @@ class Node:
         self.closed, self.features, self.until = False, (), -1
 
 
-def tokens(text: str) -> Iterator[re.Match]:
-    """TOKEN's matches, tried only where one can start."""
-    done = 0
+#: inline spans of any length, whose inside is parsed as well, and what may stand in them
+INLINE = frozenset(("math", "strong", "emph", "quotes", "strike", "link", "wikilink"))
+INNER = frozenset(("tag", "comment", "entity", "command", "code"))
+
+
+def tokens(text: str) -> Iterator[tuple[re.Match, bool]]:
+    """TOKEN's matches, tried only where one can start, and whether each stands inside the last inline span."""
+    done = inner = end = 0  # the last inline span's closing sign is at inner to end
     for s in STARTS.finditer(text):
-        if s.start() >= done and (m := TOKEN.match(text, s.start())):
-            done = m.end()
-            yield m
+        at = s.start()
+        if at < done or inner <= at < end or (m := TOKEN.match(text, at)) is None:
+            continue
+        if at < inner:
+            if m.lastgroup in INNER and m.end() <= inner:
+                done = m.end()
+                yield m, True
+            continue
+        done = m.end()
+        if m.lastgroup in INLINE:
+            token = m.group()
+            end, inner, done = done, at + len(token.rstrip("*_~'$])\\")), at + len(token) - len(token.lstrip("*_~'$[!(\\"))
+        yield m, False
 
 
 def parse(text: str) -> list[Node]:
@@ -78,7 +98,8 @@ def parse(text: str) -> list[Node]:
     stack = [0]
     group, group_end = -1, -1  # open list or table of consecutive lines
     fence = -1
-    for m in tokens(text):
+    span = -1
+    for m, within in tokens(text):
         kind, start, end = m.lastgroup if m.lastgroup != "eq" else "wikihead", m.start(), m.end()
         token = m.group()
         if fence >= 0 and kind != "fence":
@@ -146,7 +167,9 @@ def parse(text: str) -> list[Node]:
             group_end = line_end
         else:
             name = re.match(r"\\?[A-Za-z]+", token)[0] if kind == "command" else token.strip("&;") if kind == "entity" else token[:2]
-            nodes.append(Node(kind, name, start, end, stack[-1]))
+            nodes.append(Node(kind, name, start, end, span if within else stack[-1]))
+            if kind in INLINE:
+                span = len(nodes) - 1
     return nodes
 
 
@@ -158,6 +181,10 @@ def featurise(text: str, nodes: list[Node]) -> None:
     counts = Counter(n.kind for n in nodes)
     for n in nodes[1:]:
         token = text[n.start:n.end]
+        rest = "-"
+        if n.kind in ("bullet", "quote"):
+            line = text[n.end:].partition("\n")[0]
+            rest = "cells" if "\t" in token.strip(" ") or "\t" in line else "number" if PAGE_MARK.fullmatch(line) else "digit" if line[:1].isdigit() else "words"
         inner = token.strip("<>/&;\\{}[]*_`'|=#$~!() ")
         shape = "placeholder" if PLACEHOLDER_LIKE.match(token) else "number" if inner.replace(".", "").isdigit() else "words" if " " in inner else "word" if inner.isalpha() else "none" if not inner else "mixed"
         k = n.kind
@@ -166,6 +193,7 @@ def featurise(text: str, nodes: list[Node]) -> None:
             f"attr {k} {'=' in token}", f"size {k} {min(6, len(token) // 8)}", f"many {k} {min(3, counts[k])}",
             f"math {k} {any(c in token for c in chr(92) + '^_{}=') if k in ('math', 'display') else '-'}",
             f"known {k} {(n.name in BLOCKS or n.name in VOID or n.name in ('b', 'i', 'em', 'strong', 'a', 'sup', 'sub', 'span', 'ref', 'u', 'code', 'small', 'font', 'center', 'tt', 'nowiki', 's')) if k in ('tag', 'close') else '-'}",
+            f"rest {k} {rest}", f"said {k} {min(5, len(PLAIN_WORD.findall(token))) if k in ('math', 'code', 'display') else '-'}",
             f"decodes {k} {html.unescape(token) != token if k == 'entity' else '-'}",
         )
 
@@ -201,7 +229,7 @@ SUBJECTS = ("the control unit", "the braking system", "the test vehicle", "the a
 ACTIONS = ("shall report the speed", "may record the result", "is tested on a dry road", "must stay within the limit", "keeps the file", "refers to paragraph 4.2", "is replaced after each run", "has to be fitted")
 SIGNS = (
     "the offset |d| is at most 3.4 m", "each run costs 7 $ and 9 $ per day", "if v_rel < 30 and the gap > 2.5, the test ends", "mark #15 is placed next to the lamp*, at 3 m", "values & units are kept", "see note [13] below the table", "x = a / b holds for all of them", "R&D of the maker",
-    "the range is 3 < x < 9 and y > 2", "class A* and class B* are alike", "use C# or F# names", "5 * 3 * 2 = 30", "the fields a_b and c_d are set", "a deviation of +/- 5 % is tolerated", "Smith & Sons; AT&T; others", "price: 5$ to 6$ each", "|x| + |y| <= 2", "(a) first; (b) second", "the sign * marks a change", "the key <Enter> is pressed", "page 3 -- see below",
+    "the range is 3 < x < 9 and y > 2", "class A* and class B* are alike", "use C# or F# names", "5 * 3 * 2 = 30", "the fields a_b and c_d are set", "a deviation of +/- 5 % is tolerated", "Smith & Sons; AT&T; others", "price: 5$ to 6$ each", "|x| + |y| <= 2", "(a) first; (b) second", "the sign * marks a change", "the column speed [$k m / h$] holds 50 $k m / h$ or 60 $m / s$", "each run costs 7 $ if x = a / b holds for it, and 9 $ per day after that", "the track charges 22 $ per run while the observation unit of the trailer stays coupled for as long as the ignition is switched on, and 39 $ per day", "the key <Enter> is pressed", "page 3 -- see below",
 )
 HOLES = ("{{title}}", "${section.title}", "<TO BE COMPLETED>", "<insert vehicle type>", "<your text here>", "<<title>>", "[TO BE COMPLETED]", "[[INSERT title HERE]]", "<approval_no>", "<applicant.name>", "<%= limit_value %>", "__TO BE COMPLETED__", "__limit_value__", "@@name@@", "%%CLAUSE_TITLE%%", "{% title %}", "<INSERT VALUE>", "<REG_TITLE>", "__your text here__", "<enter_date>")
 
@@ -215,7 +243,7 @@ def labelled_pages(pages: int = PAGES, seed: int = 11) -> list[tuple[str, list[t
     cap = lambda s: s[0].upper() + s[1:]
 
     def piece() -> tuple[str, bool]:
-        k = int(rng.integers(44))
+        k = int(rng.integers(48))
         s, t = cap(say()), short()
         items = [cap(say()) for _ in range(int(rng.integers(2, 5)))]
         cells = [[short() for _ in range(2)] for _ in range(int(rng.integers(1, 4)))]
@@ -226,9 +254,18 @@ def labelled_pages(pages: int = PAGES, seed: int = 11) -> list[tuple[str, list[t
             18: "\n" + "\n".join(["| item | limit |", "|---|---:|", *[f"| {a} | {rng.integers(99)} |" for a, _ in cells]]) + "\n", 19: f"\n```{pick(['', 'python'])}\nif gap < {rng.integers(99)}:\n    warn('{t}')\n```\n", 20: f"[{t}](annex-{rng.integers(9)}.md) applies.", 21: f"\n> {s}.\n", 22: f"\n== {cap(t)} ==\n", 23: f"'''{cap(t)}''' and ''its'' part.", 24: f"[[Annex {rng.integers(9)}|{t}]] refers.", 25: "\n{| class=\"grid\"\n! " + t + "\n|-\n| " + str(rng.integers(99)) + "\n|}\n",
             26: "\\begin{itemize}\n" + "\n".join(f"\\item {i}." for i in items) + "\n\\end{itemize}", 27: f"\\section*{{{cap(t)}}}\n{s}.", 28: f"\\textbf{{{t}}}: {s}.", 29: f"{s}.\\footnote{{See the {t}.}}", 30: f"$v_{{rel}} \\leq {rng.integers(99)}~\\mathrm{{km/h}}$", 31: "\\[ d = \\frac{v^2}{2a} \\]", 32: f"$ {{ \\bf Q _ {{ {rng.integers(9)} }} }} $", 33: "\\begin{tabular}{ll}\n" + "\n".join(f"{a} & {b} \\\\" for a, b in cells) + " \\hline\n\\end{tabular}",
             34: f"<!-- page break -->{s}.", 35: f"<pre>if v &lt; {rng.integers(99)}: stop</pre>", 36: f"<html><head><title>{cap(t)}</title></head><body>{s}</body></html>", 37: "<UL><LI>" + "<LI>".join(items) + "</UL>", 38: f"$d^2 + {t[:1]}_1 = 4$", 39: f"\n=== {cap(t)} ===\n", 40: f"[[{cap(t)}]]", 41: f"<span style='x'>{s}</span>", 42: f"the value {rng.integers(9)}&times;{rng.integers(9)}", 43: f"<i>{t}</i> {s}",
+            44: "$" + " + ".join(f"a_{{{i}}} x^{{{i}}}" for i in range(int(rng.integers(8, 30)))) + " \\leq v$", 45: f"**{', '.join(items)} and {s}.**", 46: f"_{', '.join(items)}_", 47: f"[{', '.join(items)}](https://example.org/{'/'.join(short().replace(' ', '-') for _ in range(12))})",
         }
         return made[k], True
 
+    def other() -> str:
+        """Plain lines that begin like lists or quotations: page marks, comparisons, cells of tabbed tables."""
+        n, m = (int(x) for x in rng.integers(1, 300, 2))
+        return pick([
+            f"{cap(say())} \n- {n} -\n and {say()}.", f"{cap(say())} \n- {n}\n and {say()}.", f"if v_rel < {n} and the gap \n > {m}.5, the test ends.", f"if the gap is\n> {m} m, {say()}.",
+            f"{short()}\t{short()}\n-\t{n}\n{m}\t{n}.{m}\n", f"{short()}\t{short()} [m]\n{n}\t{m}\n> {n}\t{m}\n-\t{m} *\n", f"- {n} -\n",
+        ])
+
     out = []
     for _ in range(pages):
         text, spans = "", []
@@ -240,6 +277,8 @@ def labelled_pages(pages: int = PAGES, seed: int = 11) -> list[tuple[str, list[t
                 body, is_markup = f"{cap(say())} {pick(HOLES)} {say()}." if rng.random() < 0.6 else pick(HOLES), False
             elif roll < 0.62:
                 body, is_markup = cap(pick(SIGNS)) + ".", False
+            elif roll < 0.72:
+                body, is_markup = other(), False
             else:
                 body, is_markup = cap(say()) + ".", False
             if is_markup:

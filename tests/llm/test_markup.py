@@ -10,7 +10,9 @@ def model():
 
 
 @pytest.mark.parametrize("text", [
-    "if v < 3 and w > 5 then stop", "the offset |d| is at most 3 m", "mark #15 next to the lamp*", "costs 7 $ per run and 8 $ more", "R&D; Smith & Sons", "see [13] below", "x = a / b", "<TO BE COMPLETED> is open", "{{title}} of ${name}", "[[INSERT title HERE]]", "a_b and c_d", "(a) one; (b) two", None, "", "  ",
+    "if v < 3 and w > 5 then stop", "the offset |d| is at most 3 m", "mark #15 next to the lamp*", "costs 7 $ per run and 8 $ more", "R&D; Smith & Sons", "see [13] below", "x = a / b", "<TO BE COMPLETED> is open", "{{title}} of ${name}", "[[INSERT title HERE]]", "a_b and c_d", "(a) one; (b) two",
+    "The tyres are warmed \n- 71 -\n up before the run.", "If v < 3 and the gap \n > 12.5, the test ends.", "speed\tgap\n-\t3.4\n> 2\t5 *", "speed [$k m / h$]\tgap\n50 $k m / h$\t3",
+    "The track charges 22 $ per run " + "while the unit of the trailer stays coupled " * 8 + "and 39 $ per day.", "${title} of the lamp costs 10 $ per run", None, "", "  ",
 ])
 def test_plain_signs(model, text):
     assert M.clean_text(text, model) == (text, 0)
@@ -26,6 +28,17 @@ def test_conversion(model, text, clean):
     assert n > 0 and got == clean
 
 
+def test_long_inline_spans(model):
+    """No length of a formula, an emphasis, a link or code hides it."""
+    many = "the control unit may record the result, " * 12
+    formula = "$" + " + ".join(f"a_{{{i}}} x^{{{i}}}" for i in range(40)) + " \\leq v$"
+    assert M.clean_text(f"The sum {formula} holds.", model)[0] == "The sum " + " + ".join(f"a_{i} x^{i}" for i in range(40)) + " ≤ v holds."
+    assert M.clean_text(f"Note: **{many}and so on.** It ends.", model)[0] == f"Note: {many}and so on. It ends."
+    assert M.clean_text(f"See [{many}the annex](https://example.org/{'a/' * 150}) again.", model)[0] == f"See {many}the annex again."
+    # markup between two prices is not lost
+    assert M.clean_text(f"It costs 7 $ as {many}the <b>lamp</b> is &le; 5 or \\textbf{{more}}, and 9 $ per day.", model)[0] == f"It costs 7 $ as {many}the lamp is ≤ 5 or more, and 9 $ per day."
+
+
 def test_held_out_accuracy(model):
     right = total = 0
     for text, spans in M.labelled_pages(300, seed=1234):
@@ -56,6 +69,7 @@ def test_marginals_equal_brute_force(model):
 
 def test_very_long_and_unclosed(model):
     assert M.clean_text("<p>word " * 30_000, model)[1] == 30_000
+    assert M.clean_text("$a ** b ' c _d [[e `f ~~g " * 5000, model)[0] is not None
     assert M.clean_text("<!-- " * 5000 + "\\[ " * 5000 + "$$ x " * 5000, model)[0] is not None
 
 
