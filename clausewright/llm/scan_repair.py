@@ -29,7 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,7 @@ SPACED = re.compile(r"(?<!\S)[^\s|](?:[ \u00a0]+[^\s|]){3,}(?!\S)")
 WORD = re.compile(r"'I'[^\W_]+|[^\W_]+(?:['|][^\W_]+)*")
 PAGE_LINE = re.compile(r"^[ \t\f\v\r]*(?:[-–—]+ ?\d{1,5} ?[-–—]+|\d{1,5}|\d{1,4} ?/ ?\d{1,4}|\[?(?:p|pp|pg|page|seite|página|pág)\.? ?\d{1,5}(?: ?(?:of|von|de|sur|/) ?\d{1,5})?\]?)[ \t\f\v\r]*$", re.I)
 PAGE_INLINE = re.compile(r"(?<!\S)(?:[—–] ?\d{1,5} ?[—–]|\[(?:p|pp|page)\.? ?\d{1,5}\]|Page \d{1,5} of \d{1,5})(?!\S)")
+CUT_OFF = re.compile(r"\s*(?:…|\.\.\.)?\s*")
 SENTENCE_END = re.compile(r"[.;:!?)\]>|}*]\s*$")
 
 
@@ -261,8 +262,13 @@ def learn(texts: DataFrame) -> ScanModel:
     finally:
         stats.unpersist()
     counts, distinct = ({r["a"]: r[c] for r in kept if r["kind"] == "w"} for c in ("n", "dn"))
-    pairs = [(r["a"], r["b"], r["dn"]) for r in kept if r["kind"] == "p"]
-    index, inner, outer = train_skip_gram(distinct, pairs)
+
+    def weight(r: Row) -> int:
+        """By copies or by distinct texts, whichever gives the word or pair the larger share of its kind."""
+        return max(r["n"], round(r["dn"] * totals[r["kind"]]["n"] / totals[r["kind"]]["dn"]))
+
+    pairs = [(r["a"], r["b"], weight(r)) for r in kept if r["kind"] == "p"]
+    index, inner, outer = train_skip_gram({r["a"]: weight(r) for r in kept if r["kind"] == "w"}, pairs)
     headers = frozenset(r["a"] for r in kept if r["kind"] == "l" and (r["m"] >= 0.02 * r["n"] or r["dm"] >= 0.02 * r["dn"]))
     return ScanModel(counts, distinct, inner, outer, index, headers)
 
@@ -292,6 +298,7 @@ class Repairer:
         self.suspect = {w for w in model.counts if any(model.dwarfs(c, w) for c in self._edits(w))}
         self.common = set(model.counts) - self.suspect
         self.pieces = Pieces(self)
+        self.beginnings = {w[:k] for w in self.common for k in range(1, len(w))}
 
     def _edits(self, word: str) -> set[str]:
         """Frequent words that one or two glyph edits lead to."""
@@ -331,8 +338,8 @@ class Repairer:
         lows = [s[2].lower() for s in spans]
         out, last, changed = [], 0, 0
         for i, (start, end, word) in enumerate(spans):
-            if lows[i] not in odd or word.isupper() and len(word) < 3 or i == len(spans) - 1 > 6 and end == len(text.rstrip()):
-                continue  # codes, and a last word that may be cut off
+            if lows[i] not in odd or word.isupper() and len(word) < 3 or i == len(spans) - 1 > 6 and lows[i] in self.beginnings and CUT_OFF.fullmatch(text, end):
+                continue  # codes, and a last word that may be a frequent one cut off
             around = ["0" if w.isdigit() else w for w in lows[max(0, i - WINDOW):i] + lows[i + 1:i + 1 + WINDOW]]
             fits = sorted(((self.model.fit(c, around), c) for c in self.linked(lows[i])), reverse=True)
             if fits and fits[0][0] >= FIT:

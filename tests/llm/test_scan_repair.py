@@ -4,9 +4,10 @@ from clausewright.llm import scan_repair as S
 from tests import hostile
 
 BASE = ["The driver shall reduce the speed before the first run.", "The warning lamp must indicate the failure of the sensor.", "The manufacturer keeps the test protocol for inspection.", "The distance between the sensor and the target shall be measured.", "Evidence of the inspection is kept with the protocol."]
-CLEAN = ["The driver shall re …", "THE DRIVER SHALL REDUCE THE SPEED", "The  driver   shall reduce the speed.", "The driver shall reduce the speed.\nThe warning lamp must indicate the failure.", "The ratio x = a / b of the lamp", "vehicle-to-vehicle cases", None, "", "  "]
+CLEAN = ["The driver shall re …", "THE DRIVER SHALL REDUCE THE SPEED", "The  driver   shall reduce the speed.", "The driver shall reduce the speed.\nThe warning lamp must indicate the failure.", "The ratio x = a / b of the lamp", "vehicle-to-vehicle cases", "The warning lamp must indicate the failure of the sen", "The manufacturer keeps the test protocol for inspection. Ev...", "The warning lamp must indicate the failure of th …", None, "", "  "]
 SCANNED = {
     "The dri-\nver shall reduce the speed.": "The driver shall reduce the speed.", "The drivcr shall rcduce the spced.": "The driver shall reduce the speed.", "The rnanufacturer keeps the protocol.": "The manufacturer keeps the protocol.", "T h e   d r i v e r": "The driver",
+    "The warning lamp must indicate the failure of the sens0r": "The warning lamp must indicate the failure of the sensor",
     "The driver shall\n- 12 -\nreduce the speed.": "The driver shall reduce the speed.", "The driver shall  — 7 —  reduce the speed.": "The driver shall reduce the speed.", "The w4rning lamp rnust indicate the fai1ure.": "The w4rning lamp must indicate the failure.", "The dri¬\nver shall reduce the speed.": "The driver shall reduce the speed.",
 }
 
@@ -65,3 +66,10 @@ def test_a_word_of_one_repeated_title_stays_frequent(spark):
     rows = [(f"{a} {b}", "Vocabulary") for a in BASE for b in BASE] * 12
     fix = S.Repairer(S.learn(spark.createDataFrame([*rows, (BASE[0], "V0cabulary")], "text string, title string")))
     assert fix.repair("V0cabulary")[0] == "Vocabulary"
+
+
+def test_the_context_of_one_repeated_title_counts(spark):
+    """A pair of words that only one title holds, in many rows, is known as a context."""
+    rows = [(f"{a} {b} Item {chr(97 + i)}x.", "Outer surface") for i in range(26) for a in BASE for b in BASE]
+    fix = S.Repairer(S.learn(spark.createDataFrame([*rows, (BASE[0], "0uter surface")], "text string, title string")))
+    assert fix.repair("0uter surface")[0].lower() == "outer surface" and fix.model.fit("outer", ["surface"]) > S.FIT
