@@ -42,7 +42,11 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.section_hierarchy(table(spark, d, "sections")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_converted, p2_found, p2_report, p4_found, p4_hierarchy, p4_descendants)}
+def p4_back_edges(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.back_edges(hierarchy.section_hierarchy(table(spark, d, "sections")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_converted, p2_found, p2_report, p4_found, p4_hierarchy, p4_descendants, p4_back_edges)}
 
 _KEY = r"""nullif(regexp_replace(regexp_replace(lower(regexp_replace({0}, '[\s\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200B}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', '', 'g')), '^(paragraph|para\.)', ''), '\.+$', ''), '')"""
 _P2 = f"""WITH refs AS (
