@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.boosting import BoostedTrees
 
-DOCUMENT_SHARE = 5e-6
 DOCUMENT_SHARE = 2e-4
 KINDS = ("email", "phone", "id_number", "address", "person")
 

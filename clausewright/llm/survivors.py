@@ -125,7 +125,8 @@ def grouped(clauses: DataFrame, least_overlap: float = 0.25) -> DataFrame:
     few = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
     placed = rows.filter(F.col("container").isNotNull()).join(few, ["reg_doc", "number"], "left_semi")
     own = evidence(unplaced).drop("container")
-    known = evidence(placed).select("reg_doc", "number", "container", "kind", "token")
+    # copies of one clause hold the same tokens: each counts once per container, so a hot group meets few rows
+    known = evidence(placed).select("reg_doc", "number", "container", "kind", "token").distinct()
     shared = own.join(known, ["reg_doc", "number", "kind", "token"]).groupBy("clause_key", "container", "kind", "token").agg(F.max("n").alias("n"))
     per_kind = shared.groupBy("clause_key", "container").agg(*[f for i in range(len(KINDS)) for f in (F.count_if(F.col("kind") == i).alias(f"c{i}"), F.coalesce(F.max(F.when(F.col("kind") == i, F.col("n"))), F.lit(1)).alias(f"n{i}"))])
     lengths = own.filter("kind = 0").groupBy("clause_key").agg(F.max("n").alias("n_text"))

@@ -1,11 +1,14 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer by corpus-level merge replay.
 
-The distinct pretokens of the whole corpus are found first; each is encoded once. A task takes
-a hash-partition of them by Arrow batches, builds for each batch (not for the partition or corpus)
-an inverted index from token pair to positions in its words, and replays the merge table in rank order, touching only the positions of the pair at hand and their
-neighbours (a merge can only create pairs of later rank, so one sweep is enough). The encoded
-pretokens then go back to the documents: both sides are grouped by a hash block of documents, so
-what is shuffled is each document once and each pretoken once per block, not once per occurrence.
+The distinct pretokens of the whole corpus are found first; each is encoded once. A task takes a
+hash partition of them, builds an inverted index from token pair to positions in all its words (or,
+so that its memory is bounded, in parts of ``INDEX_CHARS`` characters), and replays the merge table
+in rank order, touching only the positions of the pair at hand and their neighbours (a merge can
+only create pairs of later rank, so one sweep is enough). No pair crosses a word, so how the words
+are dealt to tasks changes no id. The encoded pretokens then go back to the documents: both sides
+are grouped by a hash block of documents, so what is shuffled is each document once and each
+pretoken once per block, not once per occurrence. A block holds about ``ROWS_PER_BLOCK`` documents
+or ``CHARS_PER_BLOCK`` characters, whichever is less.
 
 Defined results: one row per input row; null and empty texts give the empty list; strings that
 look like special tokens are ordinary text; repeated rows and null ids are kept; an empty table
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_BLOCK = 4096
+CHARS_PER_BLOCK = 16_000_000
+INDEX_CHARS = 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -114,10 +119,11 @@ def _lists(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode_documents(documents: DataFrame, vocabulary: str | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def encode_documents(documents: DataFrame, vocabulary: str | None = None, rows_per_block: int = ROWS_PER_BLOCK, chars_per_block: int = CHARS_PER_BLOCK, index_chars: int = INDEX_CHARS) -> DataFrame:
     """(doc_id, ids): the token ids of each document."""
     path = vocabulary or default_vocabulary()
-    blocks = max(1, -(-documents.count() // rows_per_block))
+    whole = documents.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).first()
+    blocks = max(1, -(-whole["rows"] // rows_per_block), -(-(whole["chars"] or 0) // chars_per_block))
     docs = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +138,20 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None, rows_p
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, byte_ids, _ = load_merges(path)
+        words: list[str] = []
+        held = 0
+
+        def encoded() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), _lists(replay(words, merges, byte_ids))], names=["word", "word_ids"])
+
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(replay(words, merges, byte_ids))], names=["word", "word_ids"])
+            for word in batch.column(0).to_pylist():
+                words.append(word)
+                held += len(word)
+                if held >= index_chars:
+                    yield encoded()
+                    words, held = [], 0
+        yield encoded()
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         cut = pretokenizer(load_merges(path)[2]).findall

@@ -73,3 +73,12 @@ def test_large_groups_are_judged_row_by_row(spark, clauses, trust, monkeypatch):
     want = S.discover(rows, parsers, prior)
     monkeypatch.setattr(S, "PATTERN_VALUES", 1)
     assert S.discover(rows, parsers, prior) == pytest.approx(want)
+
+
+def test_a_hot_group_of_a_third_of_the_rows(spark):
+    """Placed and unplaced copies of one clause find together; their tokens meet once per container, not once per pair."""
+    hot = [(i, "d", f"u{i}", "5.2", "Scope", LONG, ["5. Rules"] if i % 3 else None, "body" if i % 3 else None, "good", D(2024, 1, 1)) for i in range(900)]
+    rest = [(10_000 + i, "d", f"v{i}", f"{i + 6}", "Scope", f"{OTHER} {i}", ["5. Rules"], "body", "good", D(2024, 1, 1)) for i in range(1800)]
+    groups = S.grouped(spark.createDataFrame(hot + rest, SCHEMA))
+    sizes = sorted(r["count"] for r in groups.groupBy("group_id").count().collect())
+    assert sizes == [1] * 1800 + [900]

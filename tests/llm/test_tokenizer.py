@@ -17,8 +17,8 @@ def reference():
 
 def test_ids_equal_the_library(spark, reference):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    for rows in (4096, 3):
-        assert {r.doc_id: r.ids for r in K.encode_documents(df, rows_per_block=rows).collect()} == {i: reference(t) for i, t in enumerate(TEXTS)}
+    for sizes in ({}, {"rows_per_block": 3}, {"chars_per_block": 20_000, "index_chars": 5}):
+        assert {r.doc_id: r.ids for r in K.encode_documents(df, **sizes).collect()} == {i: reference(t) for i, t in enumerate(TEXTS)}
     assert {r.doc_id: r.n_tokens for r in K.count_tokens(df).collect()} == {i: len(reference(t)) for i, t in enumerate(TEXTS)}
 
 
