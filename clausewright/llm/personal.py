@@ -54,6 +54,9 @@ CUES = {
 CUE_SETS = {k: frozenset(v.split()) for k, v in CUES.items()}
 TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Eng|Sir|Herr|Frau|Mme|Mlle|Sr|Sra|Ing|Dipl)\b\.?"
 PARTICLES = r"(?:(?:van|von) de[rn]?|van|von|de|del|da|di|zu|ter|VAN|VON|DE|Van|Von)"
+PARTICLE_SET = frozenset(("van de", "van der", "van den", "von de", "von der", "von den", "van", "von", "de", "del", "da", "di", "zu", "ter", "VAN", "VON", "DE", "Van", "Von"))
+TITLE = re.compile(TITLES)
+AFTER_TITLE = re.compile(TITLES + r"\s+$")
 WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+|[A-ZÀ-ÖØ-Þ]{2,}"
 NAME_TOKEN = re.compile(rf"(?:{WORD})(?:-(?:{WORD}))*|\b[A-ZÀ-ÖØ-Þ]\.|\b{PARTICLES}\b")
 CITY = r"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]+(?: (?:am |an der |de |sur |del )?[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]+){0,2}"
@@ -70,6 +73,12 @@ STREETS = (
     r"(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino|C/) (?:de la |del |de )?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?,? (?:n\.?º ?)?\d+",
 )
 STREET_RE = [re.compile(r"(?<![\wÀ-ÿ-])" + p) for p in STREETS]
+ENGLISH_STREETS = ("Road", "Street", "Lane", "Avenue", "Close", "Court", "Drive", "Way", "Place", "Square", "Gardens", "Terrace", "Crescent")
+#: per pattern of STREETS words of which a match holds one
+STREET_WORDS = (
+    ENGLISH_STREETS, (*ENGLISH_STREETS, "Rd", "St", "Ave"), ENGLISH_STREETS, ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ring", "damm", "ufer"), ("Am ", "An der ", "Im ", "Auf dem "),
+    ("rue ", "avenue ", "boulevard ", "chemin ", "place ", "impasse ", "allée ", "quai ", "route "), ("Calle ", "Avenida ", "Avda. ", "Plaza ", "Paseo ", "Camino ", "C/ "),
+)
 PLACE = re.compile(rf"[,\s]{{1,3}}(?:\d{{4,5}} {CITY}|{CITY} \d{{4,5}}|{CITY}(?=[.,;\n]|$))")
 AROUND = re.compile(r"[^\W\d_]+|n°")
 
@@ -83,7 +92,7 @@ def name_spans(text: str, known: frozenset[str], openers: frozenset[str] = froze
     run: list[tuple[int, int, str]] = []
 
     def is_particle(w: str) -> bool:
-        return re.fullmatch(PARTICLES, w) is not None
+        return w in PARTICLE_SET
 
     def is_initial(w: str) -> bool:
         return len(w) == 2 and w[1] == "."
@@ -95,7 +104,7 @@ def name_spans(text: str, known: frozenset[str], openers: frozenset[str] = froze
         """The words of the run after its last ordinary word or title, without particles."""
         out: list[str] = []
         for _, _, w in tokens:
-            if ordinary(w) or re.fullmatch(TITLES, w):
+            if ordinary(w) or TITLE.fullmatch(w):
                 out = []
             elif not is_particle(w):
                 out.append(w)
@@ -104,7 +113,7 @@ def name_spans(text: str, known: frozenset[str], openers: frozenset[str] = froze
     def pieces_of(parting: Callable[[str], bool]) -> list[list[tuple[int, int, str]]]:
         pieces: list[list[tuple[int, int, str]]] = [[]]
         for t in run:
-            if parting(t[2]) or re.fullmatch(TITLES, t[2]):
+            if parting(t[2]) or TITLE.fullmatch(t[2]):
                 pieces.append([])
             else:
                 pieces[-1].append(t)
@@ -126,7 +135,7 @@ def name_spans(text: str, known: frozenset[str], openers: frozenset[str] = froze
             if not full:
                 continue
             start, end = piece[0][0], piece[-1][1]
-            titled = re.search(TITLES + r"\s+$", text[max(0, start - 8):start]) is not None
+            titled = AFTER_TITLE.search(text[max(0, start - 8):start]) is not None
             parts = len(full) + sum(is_initial(t[2]) for t in piece)
             if parts >= 2 or titled:
                 yield Span("person", start, end, min(7, parts + 3 * titled))
@@ -139,14 +148,14 @@ def name_spans(text: str, known: frozenset[str], openers: frozenset[str] = froze
             if gap != " " and gap != "" and not comma and gap != "\xa0":
                 yield from flush()
                 run = []
-        if not run and is_particle(t[2]) and t[2].islower() and re.search(TITLES + r"\s+$", text[max(0, t[0] - 8):t[0]]) is None:
+        if not run and is_particle(t[2]) and t[2].islower() and AFTER_TITLE.search(text[max(0, t[0] - 8):t[0]]) is None:
             continue
         run.append(t)
     yield from flush()
 
 
 def candidates(text: str, known: frozenset[str], openers: frozenset[str] = frozenset()) -> list[Span]:
-    out = [Span("email", m.start(), m.end(), int("@" in m.group())) for m in EMAIL.finditer(text)]
+    out = [Span("email", m.start(), m.end(), int("@" in m.group())) for m in EMAIL.finditer(text)] if any(c in text for c in "@[(") else []
     if any(c.isdigit() for c in text):
         for m in PHONE.finditer(text):
             s = m.group()
@@ -154,8 +163,8 @@ def candidates(text: str, known: frozenset[str], openers: frozenset[str] = froze
         for m in ID.finditer(text):
             s = re.sub(r"\d+", "9", re.sub(r"[A-Z]+", "A", m.group()))
             out.append(Span("id_number", m.start(), m.end(), ("9-9-9", "9.9.9-9.9", "9 9 9 9", "A9", "9A", "9-9", "9", "9 9 9").index(s) if s in ("9-9-9", "9.9.9-9.9", "9 9 9 9", "A9", "9A", "9-9", "9", "9 9 9") else 8))
-        for form, pattern in enumerate(STREET_RE):
-            for m in pattern.finditer(text):
+        for form, (pattern, words) in enumerate(zip(STREET_RE, STREET_WORDS)):
+            for m in pattern.finditer(text) if any(w in text for w in words) else ():
                 start = m.start()
                 # a known word before the street's name is no part of it
                 while (w := re.match(r"([A-ZÀ-Þ][\w'’-]*) (?=[A-ZÀ-Þ])", text[start:m.end()])) and w[1].lower() in known and w[1] not in ("Flat", "Apt", "Unit", "Suite", "Calle", "Avenida", "Plaza", "Paseo", "Camino", "Am", "An", "Im", "Auf"):
@@ -179,7 +188,7 @@ def featurise(text: str, span: Span, known: frozenset[str]) -> list[float]:
         float(KINDS.index(span.kind)), float(span.form), float(len(body)), float(sum(c.isdigit() for c in body)), float(len(words)),
         *near.values(), *follow.values(),
         float(sum(w.lower() in known for w in words)), float(sum(w.lower() in CUE_SETS["firm"] for w in words)), float(any(w.isupper() and len(w) > 1 for w in words)), float("," in body), float("-" in body), float(bool(re.search(r"\b[A-Z]\.", body))),
-        float(prev_char in ("", "\n")), float(next_char in ("", "\n")), float(next_char in (".", ",", ";", ":", "|")), float(next_char.isdigit() or after[1:2].isdigit()), float(bool(re.search(TITLES + r"\s+$", before))),
+        float(prev_char in ("", "\n")), float(next_char in ("", "\n")), float(next_char in (".", ",", ";", ":", "|")), float(next_char.isdigit() or after[1:2].isdigit()), float(bool(AFTER_TITLE.search(before))),
         float(before.rstrip()[-1:] in (".", ":", "|", "\n", "") or not before.strip()), float(bool(left) and left[-1] not in known), float(bool(right) and after[1:2].isupper() and right[0] not in known), float(bool(re.search(r"[A-Z]-\d+$|[A-Z]{2}-$", before))), float(after[:2] == "\n" or bool(re.match(r"\s*[|(<\[]|\s+(?:at|on)\b", after))),
     ]
 
@@ -376,7 +385,7 @@ def _lower_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             counts[""] += 1
             if text:
-                bare = EMAIL.sub(" ", text)
+                bare = EMAIL.sub(" ", text) if any(c in text for c in "@[(") else text
                 small = set(LOWER_WORD.findall(bare))
                 lower.update(small)
                 counts.update(small.union(map(str.lower, OPENING_WORD.findall(bare))))
