@@ -1,3 +1,6 @@
+import re
+from html import unescape
+
 from clausewright.operators import grids as G
 
 
@@ -21,3 +24,31 @@ def test_tables_over_pages_merge(spark):
     rows = [("d", 1, "a", 2, "h|k", True), ("d", 2, "b", 2, "h|k", True), ("d", 3, "c", 2, "h|k", True), ("d", 4, "e", 2, "H|k", True), ("d", 5, "f", 2, "H|k", False), ("x", 1, "g", 2, "H|k", True)]
     got = {r.key: (r.merged_key, r.continues) for r in G.continued_tables(spark.createDataFrame(rows, "doc string, position int, key string, columns int, header string, gap_ok boolean")).collect()}
     assert got == {"a": ("a", False), "b": ("a", True), "c": ("a", True), "e": ("e", False), "f": ("f", False), "g": ("g", False)}
+
+
+def second_grid(html):
+    """Brute force: cells placed one by one on a sheet, spans filled, blank rows left out."""
+    sheet, row, col = {}, -1, 0
+    body = re.sub(r"(?is)<caption\b.*?</caption>|<!--.*?-->", "", html)
+    for m in re.finditer(r"(?is)<(tr|td|th)\b([^>]*)>((?:(?!</?(?:tr|td|th|table)\b).)*)", body):
+        if m[1].lower() == "tr":
+            row, col = row + 1, 0
+            continue
+        row = max(row, 0)
+        spans = [int((re.search(rf"(?i){k}\s*=\s*[\"']?(\d+)", m[2]) or [0, "1"])[1]) or 1 for k in ("rowspan", "colspan")]
+        value = " ".join(unescape(re.sub(r"<[^<>]*>", lambda t: " " if re.match(r"(?i)<(?:br|p)\b", t[0]) else "", m[3])).replace("\xa0", " ").split())
+        while (row, col) in sheet:
+            col += 1
+        for k in range(spans[1]):
+            for r in range(spans[0]):
+                sheet[row + r, col + k] = value
+        col += spans[1]
+    rows = [[sheet[r, c] for c in sorted(c for q, c in sheet if q == r)] for r in range(row + 1)]
+    return [r for r in rows if any(r)]
+
+
+def test_cells_of_all_tables_equal_brute_force(tables):
+    rows = {r.table_id: r.raw_html for r in tables("regulation_tables").filter("raw_html IS NOT NULL").collect()}
+    assert len(rows) > 5 and any("colspan" in t for t in rows.values())
+    for key, text in rows.items():
+        assert G.html_grid(text) == second_grid(text), key
