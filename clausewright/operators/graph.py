@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as tx
+from clausewright.operators.skew import join_aggregate
 from clausewright.session import cut_lineage
 
 KEY = ["reg_doc", "node"]
@@ -81,7 +82,7 @@ def _search_in_tasks(starts: DataFrame, edges: DataFrame, max_hops: int | None)
     # a task takes more seeds where its copy of the edges is larger
     most = edges.groupBy("reg_doc").agg(F.greatest(F.lit(SEEDS_PER_TASK), F.count("*") / EDGES_PER_SEED).alias("most"))
     parts = starts.groupBy("reg_doc").agg(F.count_distinct("seed").alias("seeds")).join(most, "reg_doc", "left").select("reg_doc", F.ceil(F.col("seeds") / F.coalesce("most", F.lit(SEEDS_PER_TASK))).alias("parts"))
-    placed = starts.join(parts, "reg_doc").withColumn("part", F.pmod(F.xxhash64("seed"), F.col("parts"))).select("reg_doc", "part", "seed", "node")
+    placed = join_aggregate(starts, parts, ["reg_doc"]).withColumn("part", F.pmod(F.xxhash64("seed"), F.col("parts"))).select("reg_doc", "part", "seed", "node")
     tasks = placed.select(F.col("reg_doc").alias("doc"), F.col("part").alias("task")).distinct()
     copies = edges.join(tasks, F.col("reg_doc") == F.col("doc")).select("doc", "task", "src", "dst")
 

@@ -14,7 +14,8 @@ deleted by then. Ties count as arrived, and as deleted. Both sides may hold repe
 empty tables give an empty result, other columns are untouched.
 
 The referenced side is reduced to one row per key before any join, so a hot key costs one row
-there; on the referring side adaptive execution splits a skewed partition of an anti-join.
+there. The anti-join also compares a hash of the key, so that both sides are shuffled for it and
+adaptive execution can split a partition of references to one hot key.
 """
 
 from __future__ import annotations
@@ -70,6 +71,8 @@ def orphan_references(references: DataFrame, targets: DataFrame, keys: list[str]
             parts.append(rows)
             continue
         on = reduce(lambda a, b: a & b, [F.col(k) == F.col(own[k]) for k in given])
+        if all(references.schema[k].dataType == targets.schema[k].dataType for k in given):
+            on &= F.xxhash64(*given) == F.xxhash64(*[own[k] for k in given])  # see ``skew``: hot keys can be split
         parts.append(rows.join(right, on & alive, "left_anti"))
     return reduce(DataFrame.unionByName, parts)
 
