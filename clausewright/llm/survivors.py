@@ -18,8 +18,8 @@ field by field.
 Defined results: rows with a null document or number are groups of one; null values get no vote
 but survive if all are null; ties go to the more complete, then later value, then the smaller key;
 repeated rows are copies; unknown parsers share one weight; empty tables give empty results; extra
-columns are ignored. A hot document or number is a hot key of equi-joins only, which adaptive
-execution splits; all joins carry the number, the container or a token beside the document.
+columns are ignored. A hot document, number or group is a hot key of equi-joins only, and these are
+such that adaptive execution can split it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.operators.skew import join_aggregate
 from clausewright.session import cut_lineage
 
 BLANKS = r"[\s\x{00A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]+"
@@ -140,7 +141,7 @@ def grouped(clauses: DataFrame, least_overlap: float = 0.25) -> DataFrame:
     alone = unplaced.select("clause_key", n_words.alias("n_words"), F.xxhash64(F.lower(F.regexp_replace(F.coalesce("text", F.col("uid")), r"[^\p{L}\p{N}]+", " "))).cast("string").alias("wording"))
     other = (F.col("region") == "annex") | F.col("has_body") & (F.col("n_words") >= 4)
     default = F.when(other, F.concat(F.lit("? "), F.col("wording"))).otherwise("body")
-    placing = unplaced.select("clause_key", "reg_doc", "number", "region").join(best, "clause_key", "left").join(alone, "clause_key").join(bodies, ["reg_doc", "number"], "left").select("clause_key", F.coalesce("found", default).alias("placed_in"))
+    placing = join_aggregate(unplaced.select("clause_key", "reg_doc", "number", "region").join(best, "clause_key", "left").join(alone, "clause_key"), bodies, ["reg_doc", "number"], "left").select("clause_key", F.coalesce("found", default).alias("placed_in"))
     out = slim.join(placing, "clause_key", "left").withColumn("container", F.coalesce("container", "placed_in"))
     whole = F.col("reg_doc").isNotNull() & F.col("number").isNotNull()
     return out.select("clause_key", F.when(whole, F.concat_ws("\x1f", "reg_doc", "container", "number")).otherwise(F.concat(F.lit("\x1e"), F.col("clause_key").cast("string"))).alias("group_id"))
@@ -175,7 +176,7 @@ def votes(clauses: DataFrame, groups: DataFrame, parsers: list[str]) -> DataFram
     parser = F.coalesce(F.try_element_at(F.create_map(*[x for i, p in enumerate(parsers) for x in (F.lit(p), F.lit(i + 1))]) if parsers else F.create_map().cast("map<string,int>"), F.col("parser_name")), F.lit(0))
     rows = clauses.select("clause_key", "parser_name", "ingested_at", *FIELDS).join(groups, "clause_key")
     size = rows.groupBy("group_id").agg(F.count("*").alias("copies"), F.max("ingested_at").alias("latest")).filter("copies > 1")
-    rows = rows.join(size, "group_id")
+    rows = join_aggregate(rows, size, ["group_id"])
     value = {f: F.xxhash64(F.lit(f), F.to_json("section_path") if f == "section_path" else F.regexp_replace(F.lower(F.col(f)), r"\s+", " ")) for f in FIELDS}
     cells = rows.select("group_id", "clause_key", parser.alias("parser"), F.coalesce(F.col("ingested_at") == F.col("latest"), F.lit(False)).cast("int").alias("late"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value[f].alias("value"), completeness(f).alias("full")) for f in FIELDS])).alias("c")).select("group_id", "clause_key", "parser", "late", "c.*").filter("full > 0")
     per_parser = cells.groupBy("group_id", "field", "value", "parser").agg(F.count("*").alias("n"), F.max("full").alias("full"), F.max("late").alias("late"), F.min("clause_key").alias("clause_key"))
@@ -193,10 +194,10 @@ def discover(vote_rows: DataFrame, parsers: list[str], prior: list[float], round
     """Weights of the sources (0: unknown parsers) after alternating estimation over voting patterns."""
     candidate = F.struct("full", "late", "by")
     sizes = vote_rows.groupBy("group_id", "field").agg(F.count("*").alias("values")).filter("values > 1")
-    few = vote_rows.join(sizes.filter(F.col("values") <= PATTERN_VALUES), ["group_id", "field"], "left_semi")
+    few = join_aggregate(vote_rows, sizes.filter(F.col("values") <= PATTERN_VALUES), ["group_id", "field"], "left_semi")
     patterns = cut_lineage(few.groupBy("group_id", "field").agg(F.array_sort(F.collect_list(candidate)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("times")))
     # groups with more values than a pattern may hold are judged row by row
-    rest = cut_lineage(vote_rows.join(sizes.filter(F.col("values") > PATTERN_VALUES), ["group_id", "field"], "left_semi"))
+    rest = cut_lineage(join_aggregate(vote_rows, sizes.filter(F.col("values") > PATTERN_VALUES), ["group_id", "field"], "left_semi"))
     weights = list(prior)
     for _ in range(rounds):
         scored = patterns.select("times", F.transform("pattern", lambda c: F.struct(support(c["by"], c["full"], c["late"], weights).alias("s"), c["by"].alias("by"))).alias("p"))
@@ -204,7 +205,7 @@ def discover(vote_rows: DataFrame, parsers: list[str], prior: list[float], round
         each = scored.select("times", F.explode(F.transform("p", lambda c: F.struct((c["s"] >= top).cast("int").alias("won"), c["by"].alias("by")))).alias("c"))
         judged = rest.withColumn("s", support(F.col("by"), F.col("full"), F.col("late"), weights))
         tops = judged.groupBy("group_id", "field").agg(F.max("s").alias("top"))
-        single = judged.join(tops, ["group_id", "field"]).select(F.lit(1).cast("long").alias("times"), (F.col("s") >= F.col("top")).cast("int").alias("won"), F.inline("by"))
+        single = join_aggregate(judged, tops, ["group_id", "field"]).select(F.lit(1).cast("long").alias("times"), (F.col("s") >= F.col("top")).cast("int").alias("won"), F.inline("by"))
         tally = each.select("times", "c.won", F.inline("c.by")).unionByName(single).groupBy("parser").agg(F.sum(F.col("times") * F.col("n") * F.col("won")).alias("won"), F.sum(F.col("times") * F.col("n")).alias("cast")).collect()
         fresh = list(prior)
         for r in tally:
