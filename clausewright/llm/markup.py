@@ -38,16 +38,17 @@ BLOCKS = frozenset("p div ul ol li table tr td th thead tbody tfoot caption h1 h
 #: a new element of these closes an open one of the same family
 IMPLIED = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "p": {"p"}, "tbody": {"td", "th", "tr", "thead", "tbody"}, "thead": {"td", "th", "tr"}, "item": {"item"}}
 
-TOKEN = re.compile(
-    r"(?P<comment><!--(?:[^-]|-(?!->))*-->)|(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>)|(?P<angle><[^<>\n]{1,60}>)|(?P<entity>&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
+COMMENT = r"(?P<comment><!--(?:[^-]|-(?!->))*-->)|"
+OTHERS = (
+    r"(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>)|(?P<angle><[^<>\n]{1,60}>)|(?P<entity>&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
     r"|(?P<env>\\(?:begin|end)\{[A-Za-z*]+\}(?:\{[lcr|p ]+\})?)|(?P<display>\\\[[^\[\]]+?\\\]|\$\$[^$]+\$\$)|(?P<math>\$(?!\{[\w .]+\}(?![ \t]*[_^]))[^$\n]+\$(?!\{[\w .]+\})|\\\([^\n]+?\\\))|(?P<rowend>\\\\(?=\s))|(?P<command>\\[A-Za-z]+\*?(?:\{[^{}\n]*\})?)"
     r"|(?P<fence>^[ \t]*(?:```|~~~)[^\n`]*$)|(?P<code>`[^`\n]+`)|(?P<wikitable>^[ \t]*\{\|[^\n]*$|^[ \t]*\|\}[ \t]*$)|(?P<wikirow>^[ \t]*\|-[^\n|]*$|^[ \t]*[!|][ \t][^\n|]*(?:(?:!!|\|\|)[^\n]*)?$)"
     r"|(?P<rule>^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$)|(?P<row>^[ \t]*\|[^\n]*\|[ \t]*$)|(?P<wikihead>^[ \t]*(?P<eq>={1,6})[ \t]*[^=\n]+?[ \t]*(?P=eq)[ \t]*$)"
     r"|(?P<head>^[ \t]{0,3}#{1,6}[ \t]+[^\n]+$)|(?P<bullet>^[ \t]*[*+\-•][ \t]+(?=\S))|(?P<quote>^[ \t]{0,3}>[ \t]+)|(?P<wikilink>\[\[[^\[\]\n]+\]\])|(?P<link>!?\[[^\[\]\n]+\]\([^()\s\n]+\))"
     r"|(?P<quotes>'{2,5}(?=\S)[^'\n]+'{2,5})|(?P<strong>\*\*(?=\S)[^*\n]+\*\*|__(?=\S)[^_\n]+__)|(?P<emph>(?<![\w*])\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![\w_]))|(?P<strike>~~[^~\n]+~~)"
-    r"|(?P<hash>#\d+)|(?P<bar>\|[^|\n]{1,20}\|)|(?P<star>\*)|(?P<template>\{\{[^{}\n]{1,80}\}\})",
-    re.M | re.S,
+    r"|(?P<hash>#\d+)|(?P<bar>\|[^|\n]{1,20}\|)|(?P<star>\*)|(?P<template>\{\{[^{}\n]{1,80}\}\})"
 )
+TOKEN, AFTER_COMMENTS = re.compile(COMMENT + OTHERS, re.M | re.S), re.compile(OTHERS, re.M | re.S)
 #: where a token can start: a sign, or a line whose first character is one
 STARTS = re.compile(r"^[ \t]*(?=[-+*•#>=|{!`~:])|[<&\\$`#*_=|{\['~!]", re.M)
 #: what no text with markup can do without
@@ -76,9 +77,10 @@ INNER = frozenset(("tag", "comment", "entity", "command", "code"))
 def tokens(text: str) -> Iterator[tuple[re.Match, bool]]:
     """TOKEN's matches, tried only where one can start, and whether each stands inside the last inline span."""
     done = inner = end = 0  # the last inline span's closing sign is at inner to end
+    last_comment = text.rfind("-->")
     for s in STARTS.finditer(text):
         at = s.start()
-        if at < done or inner <= at < end or (m := TOKEN.match(text, at)) is None:
+        if at < done or inner <= at < end or (m := (TOKEN if at < last_comment else AFTER_COMMENTS).match(text, at)) is None:
             continue
         if at < inner:
             if m.lastgroup in INNER and m.end() <= inner:

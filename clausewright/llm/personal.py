@@ -18,6 +18,7 @@ columns are ignored. Whole texts are searched.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -326,11 +327,12 @@ class Detector:
         """Kept spans of each text in order: above their kind's threshold, best first where they overlap."""
         result = []
         for rows in self.scored(texts):
-            kept: list[Span] = []
+            kept: list[Span] = []  # by start
             for q, s in sorted((r for r in rows if r[0] >= self.thresholds[r[1].kind]), key=lambda r: (-RANK[r[1].kind], -round(r[0], 2), r[1].start - r[1].end, r[1].start)):
-                if all(s.end <= k.start or s.start >= k.end for k in kept):
-                    kept.append(s)
-            result.append(sorted(kept, key=lambda s: s.start))
+                i = bisect_left(kept, s.start, key=lambda k: k.start)
+                if (i == len(kept) or s.end <= kept[i].start) and (i == 0 or s.start >= kept[i - 1].end):
+                    kept.insert(i, s)
+            result.append(kept)
         return result
 
 
@@ -369,7 +371,7 @@ def trained(documents: int = 2500, seed: int = 7) -> tuple[BoostedTrees, dict[st
 
 LOWER_WORD = re.compile(r"(?<![^\W_])[a-zß-öø-ÿ]{2,}(?![^\W_])")
 #: a capitalised word that opens a sentence and is followed by a small one, no particle of a name; not after initials and titles
-OPENING_WORD = re.compile(r"(?:^|\n|(?<![A-Z])(?<!Dr)(?<!Mr)(?<!Ms)(?<!Mrs)(?<!Prof)(?<!Eng)[.!?]\s)\s*([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)(?=\s+(?!(?:van|von|de[rn]?|del|da|di|zu|ter)\s)[a-zß-öø-ÿ])")
+OPENING_WORD = re.compile(r"(?:^|\n|(?<![A-Z])(?<!Dr)(?<!Mr)(?<!Ms)(?<!Mrs)(?<!Prof)(?<!Eng)[.!?]\s)[^\S\n]*([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)(?=\s+(?!(?:van|von|de[rn]?|del|da|di|zu|ter)\s)[a-zß-öø-ÿ])")
 
 
 def _lower_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

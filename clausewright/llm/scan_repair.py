@@ -40,6 +40,7 @@ DIMENSIONS = 24
 WINDOW = 2
 COUNTED = ["kind", "a", "b", "n", "m", "dn", "dm"]
 RARE_RATIO = 50
+WORD_CHARS = 64
 FIT = 0.12
 
 # Glyph confusions of scanning, what is read for what was printed.
@@ -294,6 +295,9 @@ class Repairer:
     def __init__(self, model: ScanModel):
         self.model = model
         self.links: dict[str, tuple[str, ...]] = {}
+        sizes = [len(w) for w in model.counts if len(w) <= WORD_CHARS]
+        reach = 2 * max(abs(len(read) - len(printed)) for read, printed in GLYPHS)
+        self.shortest, self.longest = min(sizes, default=0) - reach, max(sizes, default=0) + reach
         # a frequent word that one glyph edit turns into a far more frequent one is suspect itself
         self.suspect = {w for w in model.counts if any(model.dwarfs(c, w) for c in self._edits(w))}
         self.common = set(model.counts) - self.suspect
@@ -301,8 +305,10 @@ class Repairer:
         self.beginnings = {w[:k] for w in self.common for k in range(1, len(w))}
 
     def _edits(self, word: str) -> set[str]:
-        """Frequent words that one or two glyph edits lead to."""
+        """Frequent words that one or two glyph edits lead to; none is far longer or shorter, and no word has over WORD_CHARS letters."""
         found: set[str] = set()
+        if not self.shortest <= len(word) <= self.longest:
+            return found
         level, seen = {word}, {word}
         for _ in range(2):
             fresh = set()

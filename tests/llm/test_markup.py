@@ -70,7 +70,7 @@ def test_marginals_equal_brute_force(model):
 def test_very_long_and_unclosed(model):
     assert M.clean_text("<p>word " * 30_000, model)[1] == 30_000
     assert M.clean_text("$a ** b ' c _d [[e `f ~~g " * 5000, model)[0] is not None
-    assert M.clean_text("<!-- " * 5000 + "\\[ " * 5000 + "$$ x " * 5000, model)[0] is not None
+    assert M.clean_text("<!-- " * 60_000 + "\\[ " * 5000 + "$$ x " * 5000, model)[0] is not None
 
 
 def test_hostile_tables(tables):

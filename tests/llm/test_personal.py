@@ -78,3 +78,13 @@ def test_an_opener_after_a_name_is_no_part_of_it(detector):
     d = P.Detector(detector.trees, detector.thresholds, detector.known | {"kindly"}, frozenset({"kindly"}))
     text = "The file was checked. Ruabelle Holtstrand Kindly return the copy."
     assert {text[s.start:s.end] for s in d.detect([text])[0]} <= {"Ruabelle Holtstrand"}
+
+
+def test_long_repetitive_texts_take_near_linear_time(detector):
+    import time
+
+    began = time.time()
+    for text in ("\n" * 300_000, "a@a.bc " * 20_000, "Aa " * 60_000, "12 Aa Road " * 15_000):
+        spans = detector.detect([text])[0]
+        assert all(a.end <= b.start for a, b in zip(spans, spans[1:])) and not P.OPENING_WORD.findall(text)
+    assert time.time() - began < 90

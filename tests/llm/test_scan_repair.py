@@ -42,6 +42,9 @@ def test_vectors_prefer_the_context(fixer):
 def test_very_long_text(fixer):
     text, joined, *_ = fixer.repair(("The dri-\nver shall reduce the speed. " * 8000))
     assert joined == 8000 and text.startswith("The driver shall")
+    # a text without blanks, all of it glyphs that are easily misread
+    for blob in ("l1" * 300_000, "rn0|" * 100_000):
+        assert fixer.repair(blob)[0] == blob and fixer.repair(f"{blob} The drivcr shall reduce")[3] == 1
 
 
 def test_hostile_tables(tables):
