@@ -85,6 +85,7 @@ VALUE_RE = re.compile(
     rf"(?:\s*(?P<op>±|\+/-|\+/−|[-–—]|to|\.\.\.?|…)\s*(?P<b>[-−]?{NUMBER}))?\s*(?P<unit>.*?)\s*\*?\s*$",
     re.I | re.S,
 )
+UNIT_CHARS = 200
 SUPERSCRIPTS = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-")
 FACTOR_RE = re.compile(r"^([^\d^*\-+]+?)(?:\^|\*\*)?([-+]?\d+)?$")
 
@@ -144,7 +145,9 @@ def _tidy(text: str) -> str:
 
 @lru_cache(maxsize=50_000)
 def parse_unit(text: str) -> tuple[Unit, ...]:
-    """All readings of a unit expression; empty if it isn't one."""
+    """All readings of a unit expression (of up to UNIT_CHARS characters, as written); empty if it isn't one."""
+    if len(text) > UNIT_CHARS:
+        return ()
     text = _tidy(text)
     factor = 1.0
     if m := re.match(r"^(?:[x×*·]\s*)?10\s*\^\s*(-?\d+)\s*[x×*·]?\s*(?=\D)", text):
@@ -272,8 +275,8 @@ def read_value(field: str, value: str | None, units: dict[str, str], prose: tupl
     if own:
         unit, text = unit_for(own, common.dims), own
         if unit is None and (words := own.split()) and len(words) > 1:
-            # trailing remarks after the unit
-            for n in range(len(words) - 1, 0, -1):
+            # trailing remarks after the unit; no unit is longer than UNIT_CHARS, so has no more words
+            for n in range(min(len(words) - 1, UNIT_CHARS // 2), 0, -1):
                 if u := unit_for(" ".join(words[:n]), common.dims):
                     unit, text = u, " ".join(words[:n])
                     break

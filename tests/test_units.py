@@ -65,3 +65,14 @@ def test_hostile_tables(tables):
     assert found <= {tuple(r) for r in U.foreign_units(U.measured_cells(hostile.with_nulls(t), hostile.with_nulls(c)), hostile.with_nulls(u)).collect()}
     assert U.foreign_units(U.measured_cells(hostile.empty(t), hostile.empty(c)), u).count() == 0
     assert U.converted(U.measured_cells(t, c), hostile.empty(u)).count() == 0
+
+
+def test_very_long_values_take_linear_time():
+    import time
+
+    targets = U.Targets([("speed", "km/h"), ("length", "m")])
+    began = time.time()
+    for value, foreign in (("5 mph" + " again" * 100_000, True), ("5" + " *" * 200_000, False), ("5 " + "m " * 200_000, False), ("5 km/h" + " " * 300_000, False), ("5 mph " + "*" * 300_000, True)):
+        r = U.read_value("speed", value, {}, ("all values of " + "a " * 100_000,), targets)
+        assert r is not None and r.foreign == foreign, value[:20]
+    assert time.time() - began < 20
