@@ -40,7 +40,8 @@ FIRST_CUT = (40.0, 45.0, 50.0)
 CANDIDATE = (3.0, 6.0, 9.0)
 LEAST = (16.0, 16.0, 18.0)
 PAD = max(WINDOWS)
-SHARDS = 64
+SHARDS = 256
+TASKS_PER_CORE = 8
 BLOCK = 1 << 15
 COPY_SHARE = 1e-3
 LEAST_COPIES = 50
@@ -298,7 +299,10 @@ def tallied(texts: DataFrame, model: ResidueModel | None = None, cut: tuple[floa
 
     schema = "shard int, blob binary"
     total = Tally()
-    for r in texts.mapInArrow(count, schema).repartition("shard").mapInArrow(merge, schema).collect():
+    # each task sends a table of up to 2**BITS cells: with TASKS_PER_CORE tasks at most, however large the corpus
+    context = texts.sparkSession.sparkContext
+    few = texts.coalesce(TASKS_PER_CORE * max(context.defaultParallelism, 1))
+    for r in few.mapInArrow(count, schema).repartition("shard").mapInArrow(merge, schema).collect():
         total.merge(bytes(r["blob"]), r["shard"] * ((1 << BITS) // SHARDS))
     return total
 
