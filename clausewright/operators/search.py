@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as tx
+from clausewright.session import cut_lineage
 
 
 def overlap_score(query: Column, text: Column) -> Column:
@@ -26,7 +27,8 @@ def top_matches(queries: DataFrame, index: DataFrame, k: int = 8) -> DataFrame:
     every = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 3)
     words = queries.select("query_id", "reg_doc", F.explode(every).alias("word")).groupBy("query_id", "reg_doc", "word").agg(F.count("*").alias("times"))
     text = F.lower(F.concat_ws(" ", "title", "text_preview"))
-    postings = index.select("reg_doc", "node", F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("token")).filter(F.length("token") > 3)
+    # read twice, so the index is built once
+    postings = cut_lineage(index.select("reg_doc", "node", F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("token")).filter(F.length("token") > 3))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 3), lambda i: F.substring("token", i, F.lit(4))))
     tokens = postings.select("reg_doc", "token").distinct().select("reg_doc", "token", F.explode(grams).alias("gram"))
     wanted = words.select("reg_doc", "word").distinct().withColumn("gram", F.substring("word", 1, 4))
