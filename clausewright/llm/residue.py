@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ORDER = 5
-BITS = 20
+#: size of the hashed tables, as a power of two, of 1-grams to 5-grams
+BITS = (12, 16, 18, 20, 20)
 WINDOWS = (10, 28, 60)
 CLIP = 7.0
 UNSEEN = -0.5
@@ -125,7 +126,7 @@ def keys_of(codes: np.ndarray) -> np.ndarray:
 
 def cells(keys: np.ndarray, n: int) -> np.ndarray:
     """Hash of the last n codes of each key."""
-    return ((keys & np.uint64((1 << 12 * n) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).view(np.int64)
+    return ((keys & np.uint64((1 << 12 * n) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS[n - 1])).view(np.int64)
 
 
 def blocks_of(texts: list[str | None]) -> Iterator[slice]:
@@ -158,13 +159,13 @@ def spans_of(keys: np.ndarray) -> np.ndarray:
     """Hash of the 2 * ORDER codes that end at each position."""
     wide = keys.copy()
     wide[ORDER:] += keys[:-ORDER] * np.uint64(0xD6E8FEB86659FD93)
-    return (wide * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).view(np.int64)
+    return (wide * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS[-1])).view(np.int64)
 
 
 def _seed_spans() -> np.ndarray:
     """Per hash of 2 * ORDER codes: whether the stretch of a seed part with the rarest characters falls there."""
     often = Counter("".join(SEED_PARTS))
-    out = np.zeros(1 << BITS, bool)
+    out = np.zeros(1 << BITS[-1], bool)
     for p in SEED_PARTS:
         k = min(range(len(p) - 2 * ORDER + 1), key=lambda i: sum(math.log(often[c]) for c in p[i:i + 2 * ORDER]))
         codes, starts = codes_of([p[k:k + 2 * ORDER]])
@@ -175,8 +176,14 @@ def _seed_spans() -> np.ndarray:
 SEED_SPANS = _seed_spans()
 
 
+#: what a match of PLACEHOLDER holds: one of these, a bracket before a letter, or "to be "
+DOUBLE = ("{{", "${", "{%", "<%", "<<", "@@", "%%", "##", "__")
+BRACKET = re.compile(r"[<\[]\s*[^\W\d_]")
+
+
 def has_placeholder(text: str) -> bool:
-    return (any(c in text for c in "{$<@%#_[") or "to be " in text.lower()) and PLACEHOLDER.search(text) is not None
+    maybe = any(d in text for d in DOUBLE) or ("<" in text or "[" in text) and BRACKET.search(text) or "to be " in text.lower()
+    return bool(maybe) and PLACEHOLDER.search(text) is not None
 
 
 def has_seed(text: str) -> bool:
@@ -189,13 +196,19 @@ def is_seeded(text: str) -> bool:
     return has_placeholder(text) or has_seed(text)
 
 
+def part_of(table: np.ndarray, shard: int) -> slice:
+    width = len(table) // SHARDS
+    return slice(shard * width, (shard + 1) * width)
+
+
 class Tally:
     """Counts of the n-grams by hash; of the (1 to ORDER-1)-grams how many end a text and so have no character after
     them; and of each hash of 5-grams and 3-grams the smallest gram itself."""
 
-    def __init__(self, size: int = 1 << BITS, kind: type = np.int64):
-        self.counts = [np.zeros(size, kind) for _ in range(2 * ORDER - 1)]
-        self.grams = {n: np.full(size, NONE) for n in (ORDER, 3)}
+    def __init__(self, parts: int = 1, kind: type = np.int64):
+        """``parts``: into how many ranges of hashes the tables are cut, of which this holds one."""
+        self.counts = [np.zeros((1 << BITS[k % ORDER]) // parts, kind) for k in range(2 * ORDER - 1)]
+        self.grams = {n: np.full((1 << BITS[n - 1]) // parts, NONE) for n in (ORDER, 3)}
 
     def add(self, texts: list[str], seeded: bool = False) -> None:
         """Counts ``texts``, but those with a placeholder or seed sentence only if ``seeded``."""
@@ -238,22 +251,22 @@ class Tally:
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
         """(shard, counts and grams of its range of hashes)."""
-        width = (1 << BITS) // SHARDS
         for shard in range(SHARDS):
-            own = slice(shard * width, (shard + 1) * width)
-            if any(c[own].any() for c in self.counts):
-                yield shard, self.packed(own)
+            if any(c[part_of(c, shard)].any() for c in self.counts):
+                yield shard, self.packed(shard)
 
-    def packed(self, own: slice = slice(None)) -> bytes:
-        counts = [(np.flatnonzero(c[own]).astype(np.int32), c[own][c[own] != 0]) for c in self.counts]
-        return pickle.dumps((counts, {n: g[own][counts[n - 1][0]] for n, g in self.grams.items()}))
+    def packed(self, shard: int | None = None) -> bytes:
+        own = [c if shard is None else c[part_of(c, shard)] for c in self.counts]
+        counts = [(np.flatnonzero(c).astype(np.int32), c[c != 0]) for c in own]
+        return pickle.dumps((counts, {n: (g if shard is None else g[part_of(g, shard)])[counts[n - 1][0]] for n, g in self.grams.items()}))
 
-    def merge(self, blob: bytes, first: int = 0) -> None:
+    def merge(self, blob: bytes, shard: int = 0) -> None:
+        """Adds what ``packed`` gave; ``shard``: the range of the whole tables where it belongs."""
         counts, grams_ = pickle.loads(blob)
         for total, (i, n) in zip(self.counts, counts):
-            total[i + first] += n
+            total[i + part_of(total, shard).start] += n
         for n, keys in grams_.items():
-            self.smallest(n, counts[n - 1][0] + first, keys)
+            self.smallest(n, counts[n - 1][0] + part_of(self.grams[n], shard).start, keys)
 
     def keys(self, order: int) -> np.ndarray:
         """One gram per counted hash."""
@@ -266,7 +279,7 @@ def once_each(texts: DataFrame) -> DataFrame:
     There are fewer than 1 / COPY_SHARE of these, so the driver may read their hashes; only they are shuffled.
     """
     hashed = texts.select(F.col(texts.columns[0]).alias("t")).filter("t <> ''").withColumn("h", F.xxhash64("t"))
-    least = COPY_SHARE * hashed.count()
+    least = COPY_SHARE * texts.count()
     hot = [r["h"] for r in hashed.groupBy("h").count().filter(F.col("count") > max(LEAST_COPIES, least)).collect()]
     if not hot:
         return hashed.select("t")
@@ -290,7 +303,7 @@ def tallied(texts: DataFrame, model: ResidueModel | None = None, cut: tuple[floa
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if shard not in shards:
-                    shards[shard] = Tally((1 << BITS) // SHARDS)
+                    shards[shard] = Tally(SHARDS)
                 shards[shard].merge(blob)
         yield blobs([(shard, t.packed()) for shard, t in shards.items()])
 
@@ -299,11 +312,11 @@ def tallied(texts: DataFrame, model: ResidueModel | None = None, cut: tuple[floa
 
     schema = "shard int, blob binary"
     total = Tally()
-    # each task sends a table of up to 2**BITS cells: with TASKS_PER_CORE tasks at most, however large the corpus
+    # each task sends tables of up to 2**BITS cells: with TASKS_PER_CORE tasks at most, however large the corpus
     context = texts.sparkSession.sparkContext
     few = texts.coalesce(TASKS_PER_CORE * max(context.defaultParallelism, 1))
     for r in few.mapInArrow(count, schema).repartition("shard").mapInArrow(merge, schema).collect():
-        total.merge(bytes(r["blob"]), r["shard"] * ((1 << BITS) // SHARDS))
+        total.merge(bytes(r["blob"]), r["shard"])
     return total
 
 
@@ -414,7 +427,7 @@ def fit_models(texts: DataFrame, rounds: int = 4) -> ResidueModel:
             every.counts = [a - b for a, b in zip(counts, odd.counts)]
             del odd
         natural = CharModel(every)
-        model = ResidueModel(np.full((1 << BITS, 2), NEVER, np.int16), np.full((1 << BITS, 2), round(UNSEEN * SCALE), np.int16))
+        model = ResidueModel(np.full((1 << BITS[-1], 2), NEVER, np.int16), np.full((1 << BITS[2], 2), round(UNSEEN * SCALE), np.int16))
         for order, table in ((ORDER, model.full), (3, model.short)):
             for keys in (every.keys(order), *(k[order] for k in own)):
                 below = natural.prob(keys, order if turn else 2)
