@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clausewright.functions import text as tx
 from clausewright.operators import generated, graph, grids, labels, lines, links, providers, repair, requirements, search, trace
 from clausewright.plans import sql
+from clausewright.session import cut_lineage
 from clausewright.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,10 +48,16 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
     return labels.node_labels(_nodes(spark, d), labels.requirement_labels(table(spark, d, "requirements")))
 
 
-def _seeds(spark: SparkSession, d: str) -> DataFrame:
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes, ancestors, references and labels; the nodes, which the others start from, are read from the clauses once."""
+    nodes = cut_lineage(_nodes(spark, d))
+    return nodes, graph.ancestors(nodes), graph.reference_edges(_clauses(spark, d), nodes), labels.node_labels(nodes, labels.requirement_labels(table(spark, d, "requirements")))
+
+
+def _seeds(spark: SparkSession, d: str, nodes: DataFrame | None = None) -> DataFrame:
     """Clauses that test cases name."""
     named = table(spark, d, "test_cases").select("reg_doc", F.explode("source_clause_ids").alias("c")).select("reg_doc", tx.canonical_id(F.col("c")).alias("node")).distinct()
-    return named.join(_nodes(spark, d), ["reg_doc", "node"], "left_semi")
+    return named.join(_nodes(spark, d) if nodes is None else nodes, ["reg_doc", "node"], "left_semi")
 
 
 def _uid_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -301,20 +308,22 @@ def q33_formatting_root(spark, d):
 
 @query(sql.context(exclude=True, both=True) + "SELECT DISTINCT c.reg_doc, c.seed, c.node FROM ctx c WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.reg_doc = c.reg_doc AND b.node = c.node)")
 def q34_obligation_context(spark, d):
-    return graph.context(_seeds(spark, d), _nodes(spark, d), _anc(spark, d), _refs(spark, d), _labels(spark, d), exclude_testing=True)
+    nodes, anc, refs, marked = _graph(spark, d)
+    return graph.context(_seeds(spark, d, nodes), nodes, anc, refs, marked, exclude_testing=True)
 
 
 @query(sql.context(exclude=False, both=True) + f"SELECT DISTINCT c.reg_doc, c.seed, c.node FROM ctx c JOIN node_labels l ON l.reg_doc = c.reg_doc AND l.node = c.node WHERE l.category IN {tx.TESTING}")
 def q35_procedure_context(spark, d):
-    ctx = graph.context(_seeds(spark, d), _nodes(spark, d), _anc(spark, d), _refs(spark, d), _labels(spark, d), exclude_testing=False)
-    return ctx.join(_labels(spark, d).filter(F.col("category").isin(*tx.TESTING)).select("reg_doc", "node"), ["reg_doc", "node"], "left_semi").select("reg_doc", "seed", "node")
+    nodes, anc, refs, marked = _graph(spark, d)
+    ctx = graph.context(_seeds(spark, d, nodes), nodes, anc, refs, marked, exclude_testing=False)
+    return ctx.join(marked.filter(F.col("category").isin(*tx.TESTING)).select("reg_doc", "node"), ["reg_doc", "node"], "left_semi").select("reg_doc", "seed", "node")
 
 
 @query(sql.context(exclude=False, both=False, seeds=f"seeds AS (SELECT reg_doc, node FROM node_labels WHERE category IN {tx.TESTING})") + "SELECT DISTINCT reg_doc, node FROM ctx")
 def q36_document_procedure_context(spark, d):
-    marked = _labels(spark, d)
+    nodes, anc, refs, marked = _graph(spark, d)
     seeds = marked.filter(F.col("category").isin(*tx.TESTING)).select("reg_doc", "node")
-    return graph.context(seeds, _nodes(spark, d), _anc(spark, d), _refs(spark, d), marked, exclude_testing=False, both=False).select("reg_doc", "node").distinct()
+    return graph.context(seeds, nodes, anc, refs, marked, exclude_testing=False, both=False).select("reg_doc", "node").distinct()
 
 
 # -- lines and segments --------------------------------------------------------------------------
