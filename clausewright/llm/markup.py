@@ -344,32 +344,75 @@ def plain_formula(s: str) -> str:
     return re.sub(r"\s+", " ", s.replace("{", "").replace("}", "")).strip()
 
 
+#: noncharacters that stand for a cell's border, and for blanks and line ends of code, until the text is tidied
+CELL, BLANK, LINE = "\ufdd2", "\ufdd0", "\ufdd1"
+CODE_MARKS = str.maketrans({" ": BLANK, "\t": BLANK * 4, "\n": LINE})
+MARKED = str.maketrans({CELL: "\t", BLANK: " ", LINE: "\n"})
+
+
 def clean_text(text: str | None, model: TreeModel) -> tuple[str | None, int]:
-    """The text without its markup, and how many nodes were markup."""
+    """The text without its markup, and how many nodes were markup.
+
+    Table rows become lines with a tab between cells (empty cells too), code keeps its lines and indents.
+    """
     nodes, p = markup_nodes(text, model)
     hit = [i for i in range(1, len(nodes)) if p[i] >= LEAST and nodes[i].kind != "group"]
     if not hit:
         return text, 0
     out, last = [], 0
+    tables = cells = code = tabular = 0
+    in_row = False
+
+    def plain(s: str) -> str:
+        """A stretch between two nodes."""
+        if code:
+            return s.translate(CODE_MARKS)
+        if tabular:
+            return re.sub(r"[ \t]*(?<!\\)&[ \t]*", CELL, s)
+        if in_row:
+            return re.sub(r"\s+", " ", s)
+        return " " if tables and s.isspace() else s
+
     for i in hit:
         n = nodes[i]
         if n.start < last:
             continue
-        out.append(text[last:n.start])
+        out.append(plain(text[last:n.start]))
         token = text[n.start:n.end]
         last = n.end
         k, name = n.kind, n.name
         if k in ("tag", "close"):
-            if name in HEADINGS or name in ("title", "caption"):
+            opens = k == "tag"
+            if name == "table":
+                tables, in_row = max(0, tables + (1 if opens else -1)), False
                 out.append("\n")
-            elif name == "li":
-                out.append("\n- " if k == "tag" else "")
+            elif name == "tr":
+                in_row, cells = opens, 0
+                out.append("\n" if opens else "")
             elif name in CELLS:
-                out.append("\t" if k == "tag" else "")
-            elif nodes[n.parent].name in CELLS or name in CELLS:
-                pass  # a cell stays on its row's line
+                if opens:
+                    out.append(CELL if cells else "")
+                    in_row, cells = True, cells + 1
+            elif name in ("thead", "tbody", "tfoot"):
+                in_row = False
+            elif name == "pre":
+                code = int(opens and n.closed)
+                out.append("\n")
+            elif in_row and (name in BLOCKS or name in ("br", "hr")):
+                out.append(" ")  # a cell stays on its row's line
+            elif name == "li":
+                out.append("\n- " if opens else "")
             elif name in BLOCKS or name in ("br", "hr"):
                 out.append("\n")
+        elif k == "env" and name.rstrip("*") in ("tabular", "array", "tabularx", "longtable"):
+            tabular = int(n.closed)
+        elif k == "envend" and name.rstrip("*") in ("tabular", "array", "tabularx", "longtable"):
+            tabular = 0
+        elif k == "fence":
+            code = int(n.closed)
+            last += text[last:last + 1] == "\n"
+        elif k == "fenceend":
+            code = 0
         elif k == "entity":
             out.append(html.unescape(token))
         elif k in ("math", "display"):
@@ -395,13 +438,14 @@ def clean_text(text: str | None, model: TreeModel) -> tuple[str | None, int]:
         elif k == "bullet":
             out.append("- ")
         elif k == "row":
-            out.append("\t".join(c.strip() for c in token.strip().strip("|").split("|")))
-        elif k == "wikirow":
-            out.append("" if token.strip().startswith("|-") else "\t".join(c.strip() for c in re.split(r"!!|\|\|", token.strip()[1:])))
-    out.append(text[last:])
-    joined = "".join(out)
-    joined = re.sub(r"[ \t]*\n[ \t]*", "\n", joined)
-    return re.sub(r"\n{3,}", "\n\n", joined).strip(), len(hit)
+            out.append(CELL.join(c.strip() for c in token.strip().strip("|").split("|")))
+        elif k == "wikirow" and not token.strip().startswith("|-"):
+            out.append(CELL.join(c.strip() for c in re.split(r"!!|\|\|", token.strip()[1:])))
+        elif k in ("rule", "wikirow", "wikitable", "wikiend"):
+            last += text[last:last + 1] == "\n"  # the line goes as a whole
+    out.append(plain(text[last:]))
+    joined = re.sub(r"[ \t]*\n[ \t]*", "\n", re.sub(rf" *{CELL} *", CELL, "".join(out)))
+    return re.sub(r"\n{3,}", "\n\n", joined).strip().translate(MARKED).strip("\n"), len(hit)
 
 
 def cleaned(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -19,9 +19,11 @@ def test_plain_signs(model, text):
 
 
 @pytest.mark.parametrize("text, clean", [
-    ("<h3>Scope</h3>\n<p>The <b>lamp</b> glows.</p>", "Scope\n\nThe lamp glows."), ("<ul><li>one<li>two</ul>", "- one\n- two"), ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>", "a\tb\n\n1\t2"), ("5&deg; &amp; more &#8805; 2", "5° & more ≥ 2"), ("== Scope ==\nThe '''lamp''' glows.", "Scope\nThe lamp glows."),
+    ("<h3>Scope</h3>\n<p>The <b>lamp</b> glows.</p>", "Scope\n\nThe lamp glows."), ("<ul><li>one<li>two</ul>", "- one\n- two"), ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>", "a\tb\n1\t2"), ("5&deg; &amp; more &#8805; 2", "5° & more ≥ 2"), ("== Scope ==\nThe '''lamp''' glows.", "Scope\nThe lamp glows."),
     ("[[Annex 2|the lamp]] refers", "the lamp refers"), ("## Scope\n- **one**\n- `two`", "Scope\n- one\n- two"), ("See [the lamp](annex-2.md).", "See the lamp."), ("\\section{Scope}\n\\begin{itemize}\n\\item one\n\\end{itemize}", "Scope\n\n\n- one".replace("\n\n\n", "\n\n")), ("$v_{rel} \\leq 65~\\mathrm{km/h}$", "v_rel ≤ 65 km/h"),
-    ("```\nif a < 3:\n    stop()\n```", "if a < 3:\nstop()"), ("| a | b |\n|---|---|\n| 1 | 2 |", "a\tb\n\n1\t2"), ("{| class=\"x\"\n! a\n|-\n| 1\n|}", "a\n\n1"),
+    ("```\nif a < 3:\n    stop()\n```", "if a < 3:\n    stop()"), ("| a | b |\n|---|---|\n| 1 | 2 |", "a\tb\n1\t2"), ("{| class=\"x\"\n! a\n|-\n| 1\n|}", "a\n1"),
+    ("<table>\n<tr><td> 1 </td>\n<td></td>\n<td> <b>x</b> y<br>z </td>\n</tr>\n<tr><td></td><td>2</td><td>3</td></tr></table>\n<p>End.</p>", "1\t\tx y z\n\t2\t3\n\nEnd."),
+    ("<pre>if a:\n    b &lt; 2\n</pre>", "if a:\n    b < 2"), ("\\begin{tabular}{ll}\na & b \\\\ \\hline\n1 & 2 \\\\\n\\end{tabular}", "a\tb\n1\t2"), ("<table><tr><td>a<td>b</table> <b>x</b> <i>y</i>", "a\tb\nx y"),
 ])
 def test_conversion(model, text, clean):
     got, n = M.clean_text(text, model)
