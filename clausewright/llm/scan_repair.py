@@ -83,9 +83,12 @@ class WordIds(dict):
 
 
 def line_template(line: str) -> str | None:
-    """The shape of a short line that could be a running header: digits masked, outer page numbers off."""
+    """The shape of a short line that could be a running header: digits masked, outer page numbers off.
+
+    A line that begins with a small letter or ends in a broken word belongs to its sentence.
+    """
     s = line.strip()
-    if not 5 <= len(s) <= 90 or SENTENCE_END.search(s) or s[0] in "|!{<\\#*(-+_&":
+    if not 5 <= len(s) <= 90 or SENTENCE_END.search(s) or s[0] in "|!{<\\#*(-+_&" or s[0].islower() or s[-1] in "-\xad¬‐‑":
         return None
     if SPACED.fullmatch(s):
         s = close_spaced(s)

@@ -76,3 +76,12 @@ def test_the_context_of_one_repeated_title_counts(spark):
     rows = [(f"{a} {b} Item {chr(97 + i)}x.", "Outer surface") for i in range(26) for a in BASE for b in BASE]
     fix = S.Repairer(S.learn(spark.createDataFrame([*rows, (BASE[0], "0uter surface")], "text string, title string")))
     assert fix.repair("0uter surface")[0].lower() == "outer surface" and fix.model.fit("outer", ["surface"]) > S.FIT
+
+
+def test_parts_of_sentences_are_no_running_headers(spark):
+    """Broken lines that recur in many texts stay, also between a page number and a hyphen."""
+    broken = "The driver shall compare the\n108\n reading with the entry of 17 Septe-\nmber in the protocol."
+    rows = [(f"{a} {b}",) for a in BASE for b in BASE] * 20 + [(f"{broken} {a}",) for a in BASE] * 10 + [("The driver shall reduce the\nREGULATION R12-3\nspeed before the run.",)] * 5
+    fix = S.Repairer(S.learn(spark.createDataFrame(rows, "text string")))
+    assert fix.model.headers == {"regulation r0-0"}
+    assert fix.repair(broken)[0] == "The driver shall compare the reading with the entry of 17 September in the protocol."
