@@ -59,7 +59,9 @@ PARTICLE_SET = frozenset(("van de", "van der", "van den", "von de", "von der", "
 TITLE = re.compile(TITLES)
 AFTER_TITLE = re.compile(TITLES + r"\s+$")
 WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+|[A-ZÀ-ÖØ-Þ]{2,}"
-NAME_TOKEN = re.compile(rf"(?:{WORD})(?:-(?:{WORD}))*|\b[A-ZÀ-ÖØ-Þ]\.|\b{PARTICLES}\b")
+# patterns that begin with one set of characters are found fastest
+NAME_TOKEN = re.compile(rf"[A-ZÀ-ÖØ-Þ](?:(?:[a-zß-öø-ÿ'’]+|[A-ZÀ-ÖØ-Þ]+)(?:-(?:{WORD}))*|(?<!\w.)\.)")
+SMALL_PARTICLE = re.compile(r"[dtvz](?<!\w.)(?:(?:an|on)(?: de[rn]?)?|e[l]?|a|i|u|er)\b")
 CITY = r"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]+(?: (?:am |an der |de |sur |del )?[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]+){0,2}"
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@|\s?[\[(](?:at|AT|ät|arroba)[\])]\s?)[A-Za-z0-9-]+(?:(?:\.|[ ]?[\[(](?:dot|punkt|point)[\])][ ]?)[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"(?<![\w+./-])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d[\d .-]{5,14}\d|00\d{1,3}[ .-]\d[\d .-]{5,14}\d|\(0?\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{2,6}(?:[ .-]\d{2,4})?|0\d{1,4}[/ -]\d{3,8}(?:[ -]\d{1,5}){0,3}|\d{3}-\d{4}|\+\d{8,14})(?![\w]|[-./]\d)")
@@ -84,12 +86,24 @@ PLACE = re.compile(rf"[,\s]{{1,3}}(?:\d{{4,5}} {CITY}|{CITY} \d{{4,5}}|{CITY}(?=
 AROUND = re.compile(r"[^\W\d_]+|n°")
 
 
+def name_tokens(text: str) -> list[re.Match]:
+    """Capitalised words, initials and particles in order; a particle inside a word ("O'de") is none."""
+    small = [m for m in SMALL_PARTICLE.finditer(text) if m.group() in PARTICLE_SET]
+    if not small:
+        return list(NAME_TOKEN.finditer(text))
+    out: list[re.Match] = []
+    for m in sorted([*NAME_TOKEN.finditer(text), *small], key=lambda m: m.start()):
+        if not out or m.start() >= out[-1].end():
+            out.append(m)
+    return out
+
+
 def name_spans(text: str, known: frozenset[str], openers: frozenset[str] = frozenset()) -> Iterator[Span]:
     """Runs of capitalised words outside the lower-case vocabulary, with initials and particles; single ones after a title.
 
     Runs that hold ``openers``, known words only seen to open sentences, are proposed whole as well.
     """
-    tokens = [(m.start(), m.end(), m.group()) for m in NAME_TOKEN.finditer(text) if not text[m.start() - 1:m.start()].isalnum() and not text[m.end():m.end() + 1].isalnum()]
+    tokens = [(m.start(), m.end(), m.group()) for m in name_tokens(text) if not text[m.start() - 1:m.start()].isalnum() and not text[m.end():m.end() + 1].isalnum()]
     run: list[tuple[int, int, str]] = []
 
     def is_particle(w: str) -> bool:
@@ -369,9 +383,9 @@ def trained(documents: int = 2500, seed: int = 7) -> tuple[BoostedTrees, dict[st
     return trees, thresholds
 
 
-LOWER_WORD = re.compile(r"(?<![^\W_])[a-zß-öø-ÿ]{2,}(?![^\W_])")
-#: a capitalised word that opens a sentence and is followed by a small one, no particle of a name; not after initials and titles
-OPENING_WORD = re.compile(r"(?:^|\n|(?<![A-Z])(?<!Dr)(?<!Mr)(?<!Ms)(?<!Mrs)(?<!Prof)(?<!Eng)[.!?]\s)[^\S\n]*([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)(?=\s+(?!(?:van|von|de[rn]?|del|da|di|zu|ter)\s)[a-zß-öø-ÿ])")
+LOWER_WORD = re.compile(r"[a-zß-öø-ÿ](?<![^\W_].)[a-zß-öø-ÿ]+(?![^\W_])")
+#: a capitalised word that opens a sentence (of a text with a line end put before it) and is followed by a small one, no particle of a name; not after initials and titles
+OPENING_WORD = re.compile(r"[.!?\n](?:(?<=\n)|(?<![A-Z].)(?<!Dr.)(?<!Mr.)(?<!Ms.)(?<!Mrs.)(?<!Prof.)(?<!Eng.)\s)[^\S\n]*([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)(?=\s+(?!(?:van|von|de[rn]?|del|da|di|zu|ter)\s)[a-zß-öø-ÿ])")
 
 
 def _lower_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +404,7 @@ def _lower_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bare = EMAIL.sub(" ", text) if any(c in text for c in "@[(") else text
                 small = set(LOWER_WORD.findall(bare))
                 lower.update(small)
-                counts.update(small.union(map(str.lower, OPENING_WORD.findall(bare))))
+                counts.update(small.union(map(str.lower, OPENING_WORD.findall("\n" + bare))))
         if len(counts) > 500_000:
             yield rows()
             counts.clear(), lower.clear()

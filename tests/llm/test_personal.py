@@ -88,3 +88,14 @@ def test_long_repetitive_texts_take_near_linear_time(detector):
         spans = detector.detect([text])[0]
         assert all(a.end <= b.start for a, b in zip(spans, spans[1:])) and not P.OPENING_WORD.findall(text)
     assert time.time() - began < 90
+
+
+def test_tokens_of_names_and_openers():
+    """Words, initials and particles as a plain alternation finds them; openers but for initials, titles and names with particles."""
+    import re
+
+    plain = re.compile(rf"(?:{P.WORD})(?:-(?:{P.WORD}))*|\b[A-ZÀ-ÖØ-Þ]\.|\b{P.PARTICLES}\b")
+    for text in ("van der Aa", "Van Aa de Bb", "O'de X. Y", "aB. C.", "del da di zu ter van den von der VAN DE", "xde de-de Aa-de", "deren der den", "é. Éa-Bb CC-Dd", "", *(d[0] for d in P.training_documents(40, 9))):
+        assert [m.span() for m in P.name_tokens(text)] == [m.span() for m in plain.finditer(text)], text
+    assert P.OPENING_WORD.findall("\n" + "Aa bb. Cc dd! A. Ee ff Dr. Gg hh?\n Ii jj. Kk van Ll.\n\nMm nn") == ["Aa", "Cc", "Ii", "Mm"]
+    assert P.LOWER_WORD.findall("ab c_de fG hij1 über x no-op") == ["ab", "de", "über", "no", "op"]
