@@ -14,6 +14,8 @@ from clausewright.operators.ordered import carry_forward, running_count
 
 #: all line ends of str.splitlines
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+#: how any heading begins, blanks and number signs before it
+HEADING_START = r"(?i)^[\s\x{00A0}#]*(?:annex|scenario|[1-9])"
 
 
 def split_lines(text: Column) -> Column:
@@ -33,12 +35,15 @@ def bare_line(line: Column) -> Column:
 
 def heading_id(line: Column) -> Column:
     """Id of a heading line (annex, scenario, dotted number), else null."""
-    s = bare_line(line)
-    annex = F.regexp_extract(s, r"(?i)^annex\s+(\d+)(?:\s*[-:]\s*.+)?$", 1)
-    scenario = F.regexp_extract(s, r"(?i)^scenario\s+(\d+)(?:\s*[-:]\s*.+)?$", 1)
-    number = F.regexp_extract(s, r"^([1-9]\d?(?:\.\d+)*)\.?\s+\S", 1)
-    ok = ~tx.is_noise_line(s) & ~tx.is_contents_line(s)
-    return F.when(ok, F.when(annex != "", F.concat(F.lit("Annex "), annex)).when(scenario != "", F.concat(F.lit("Scenario "), scenario)).when(number != "", number))
+    def found(s: Column) -> Column:
+        annex = F.regexp_extract(s, r"(?i)^annex\s+(\d+)(?:\s*[-:]\s*.+)?$", 1)
+        scenario = F.regexp_extract(s, r"(?i)^scenario\s+(\d+)(?:\s*[-:]\s*.+)?$", 1)
+        number = F.regexp_extract(s, r"^([1-9]\d?(?:\.\d+)*)\.?\s+\S", 1)
+        ok = ~tx.is_noise_line(s) & ~tx.is_contents_line(s)
+        return F.when(ok, F.when(annex != "", F.concat(F.lit("Annex "), annex)).when(scenario != "", F.concat(F.lit("Scenario "), scenario)).when(number != "", number))
+
+    # most lines are none by their first letters; the others are made bare once
+    return F.when(line.rlike(HEADING_START), F.element_at(F.transform(F.array(bare_line(line)), found), 1))
 
 
 def heading_title(line: Column) -> Column:

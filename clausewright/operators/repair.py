@@ -40,11 +40,14 @@ def with_node(clauses: DataFrame) -> DataFrame:
     return clauses.withColumn("node", tx.canonical_id(F.col("clause_id"))).filter(tx.is_clause_id(F.col("node")))
 
 
-def best_copy(clauses: DataFrame) -> DataFrame:
-    """Highest ``copy_score`` per (reg_doc, node); the earlier row on ties."""
+def best_copy(clauses: DataFrame, doc: str = "reg_doc", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Highest ``copy_score`` per (``doc``, node); the earlier row on ties. ``keep``: the columns to carry besides the
+    key and the order, all by default."""
     score = copy_score(F.col("title"), F.col("text"), F.col("section_path"), F.col("document_region"))
     rows = with_node(clauses).withColumn("score", score)
-    return pick(rows, ["reg_doc", "node"], -F.col("score"), F.col("line_start"), F.col("clause_key"))
+    if keep is not None:
+        rows = rows.select(*dict.fromkeys((doc, "node", *keep, "score", "line_start", "clause_key")))
+    return pick(rows, [doc, "node"], -F.col("score"), F.col("line_start"), F.col("clause_key"))
 
 
 def longest_copy(clauses: DataFrame) -> DataFrame:
