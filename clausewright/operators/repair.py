@@ -74,15 +74,29 @@ def repaired_title(title: Column, text: Column, node: Column) -> Column:
     return F.regexp_replace(stripped, r"\s*\.\s*\d{1,3}\s*$", "")
 
 
+def kept_copies(clauses: DataFrame) -> DataFrame:
+    """Best copies without form junk: reg_doc, node, title, text, section_path."""
+    best = best_copy(clauses.filter(~F.col("is_pseudo_clause")), keep=("title", "text", "section_path"))
+    return best.filter(~is_form_junk(F.col("title"), F.col("text"), F.col("section_path")))
+
+
+def preview(text: Column) -> Column:
+    return F.substring(F.coalesce(text, F.lit("")), 1, 400)
+
+
+def index_texts(clauses: DataFrame) -> DataFrame:
+    """The rows of ``clause_index`` with what a search reads: reg_doc, node, title, text_preview."""
+    return kept_copies(clauses).select("reg_doc", "node", repaired_title(F.col("title"), F.col("text"), F.col("node")).alias("title"), preview(F.col("text")).alias("text_preview"))
+
+
 def clause_index(clauses: DataFrame, labels: DataFrame, ancestors: DataFrame) -> DataFrame:
     """Best copies without form junk, labelled: title, preview, category, force, testable, parent."""
-    best = best_copy(clauses.filter(~F.col("is_pseudo_clause")))
-    kept = best.filter(~is_form_junk(F.col("title"), F.col("text"), F.col("section_path")))
+    kept = kept_copies(clauses)
     parents = ancestors.filter("depth = 1").select("reg_doc", "node", F.col("ancestor").alias("parent"))
     rows = kept.join(labels, ["reg_doc", "node"], "left").join(parents, ["reg_doc", "node"], "left")
     testable = F.col("category").isin(*tx.TESTABLE) & (F.col("force") == "binding")
     return rows.select(
-        "reg_doc", "node", repaired_title(F.col("title"), F.col("text"), F.col("node")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.substring(F.coalesce("text", F.lit("")), 1, 400).alias("text_preview"),
+        "reg_doc", "node", repaired_title(F.col("title"), F.col("text"), F.col("node")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), preview(F.col("text")).alias("text_preview"),
         F.coalesce("category", F.lit("unknown")).alias("category"), F.coalesce("force", F.lit("none")).alias("force"), F.coalesce(testable, F.lit(False)).alias("testable"), "section_path", "parent",
     )
 
