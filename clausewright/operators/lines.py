@@ -121,7 +121,7 @@ def section_paths(headings: DataFrame) -> DataFrame:
             out.append((doc, no, hid, [s[1] for s in stack]))
         return pd.DataFrame(out, columns=["reg_doc", "line_no", "hid", "path"])
 
-    return headings.select("reg_doc", "line_no", "hid", "title").groupBy("reg_doc").applyInPandas(fold, "reg_doc string, line_no int, hid string, path array<string>")
+    return headings.select("reg_doc", "line_no", "hid", "title").groupBy("reg_doc").applyInPandas(fold, "reg_doc string, line_no long, hid string, path array<string>")
 
 
 def greedy_chunks(rows: DataFrame, doc: str, order: str, size: Column, budget: int = 9000) -> DataFrame:

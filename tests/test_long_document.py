@@ -26,3 +26,9 @@ def test_headings_of_a_long_document(spark, folder):
     found = entry.queries()["q38_heading_recognise"](spark, folder)
     got = found.groupBy("hid", "htitle").agg(F.count("*").alias("n"), F.countDistinct("line_no").alias("numbers"), F.min("line_no").alias("first"), F.max("line_no").alias("last")).collect()
     assert [tuple(r) for r in got] == [("1", "Lamps", CLAUSES, CLAUSES, 10_001, CLAUSES * 10_000 + 1)]
+
+
+def test_depths_of_a_long_document(spark, folder):
+    found = entry.queries()["q42_section_path_depth"](spark, folder)
+    got = found.groupBy("hid", "depth").agg(F.count("*").alias("n"), F.countDistinct("line_no").alias("numbers"), F.max("line_no").alias("last")).collect()
+    assert [tuple(r) for r in got] == [("1", 1, CLAUSES, CLAUSES, CLAUSES * 10_000 + 1)]
