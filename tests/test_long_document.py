@@ -32,3 +32,10 @@ def test_depths_of_a_long_document(spark, folder):
     found = entry.queries()["q42_section_path_depth"](spark, folder)
     got = found.groupBy("hid", "depth").agg(F.count("*").alias("n"), F.countDistinct("line_no").alias("numbers"), F.max("line_no").alias("last")).collect()
     assert [tuple(r) for r in got] == [("1", 1, CLAUSES, CLAUSES, CLAUSES * 10_000 + 1)]
+
+
+def test_segments_of_a_long_document(spark, folder):
+    found = entry.queries()["q39_clause_segmentation"](spark, folder)
+    whole = (F.col("line_start") == F.col("segment") * 10_000 + 1) & (F.col("line_end") == F.col("line_start") + 1)
+    text = F.col("text") == F.concat(F.lit("The lamp number "), F.col("segment").cast("string"), F.lit(" shall be lit."))
+    assert found.agg(F.count("*"), F.countDistinct("segment"), F.count_if(whole & text)).first()[:] == (CLAUSES, CLAUSES, CLAUSES)
